@@ -1,22 +1,61 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Stages, each over all rows its predecessor kept: language identification (documents of no recognisable language go), line
+dedup per source, near-dedup (the smallest id of each group stays), benchmark decontamination (documents with a window that
+matches a benchmark item go) and packing. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from isobar.llm import crf_language, decontaminate, line_dedup, packing, setsketch
 from isobar.llm.common import materialize, read_table
-from isobar.llm.setsketch import near_duplicates
+
+#: A document stays if its language has at least this mean posterior; a text mixed of two languages in equal parts has 0.5.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids; null ids are compared as values."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without words and those in which no language reaches LEAST_LANGUAGE_SCORE."""
+    labels = crf_language.identify(docs, crf_language.learn_folds(docs))
+    return _keep(docs, labels.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source's boilerplate lines out of its documents; n_chars follows the text."""
+    out = line_dedup.drop_boilerplate(docs).drop("_lines_in", "_lines_out")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return _keep(docs, setsketch.near_duplicates(docs).where("kept or doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window that matches a benchmark item go."""
+    hits = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(hits, docs["doc_id"] == hits["_id"], "left_anti")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, packing.tokenizer_path())
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", sequences)]
 
-#: SQL can't express the language model, the sketches or the packing; tests hold the stages against brute force.
+#: SQL can't express the language model, the sketches and the packing; tests hold these stages against brute force.
 ORACLE_SQL = None
 
 
