@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobar.llm import bt_quality, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, setsketch
+from isobar.llm import bt_quality, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
 
 QUERIES = {
     "op1_language_id": crf_language.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": bt_quality.op6_quality,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_pseudonyms": pii.op9_pseudonyms,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
