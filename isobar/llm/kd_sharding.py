@@ -109,7 +109,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     for d in DIMENSIONS:
         low, high = span[f"low_{d}"] or 0, span[f"high_{d}"] or 0
         rows = rows.withColumn(d, F.floor((F.col(d) - F.lit(low)).cast("double") / F.lit(float(max(1, high - low))) * F.lit(float(SCALE))).cast("long"))
-    rows = rows.withColumn("node", F.lit(0))
+    rows = materialize(rows.withColumn("node", F.lit(0)), "shard-level")
 
     shares, first, following = {0: n_shards}, {0: 0}, 1  # node -> shards it becomes, its first shard
     while any(k > 1 for k in shares.values()):
@@ -129,7 +129,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
             first[left], first[right] = first[n], first[n] + shares[n] // 2
         for n in split:  # a node without rows is not split
             del shares[n]
-        rows = _descend(rows, moves)
+        rows = materialize(_descend(rows, moves), "shard-level")  # else the plan would double with each level
     leaf = {n: first[n] for n in shares}
     placed = materialize(rows.select("doc_id", "size", "text_crc32", _by_node(leaf).cast("int").alias("shard")), "shard-placed")
     out = gapless_rank(placed, ["shard"], ["doc_id", "size", "text_crc32"], count, "slot")
