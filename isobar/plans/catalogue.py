@@ -679,3 +679,63 @@ def role_runs(t: Tables) -> DataFrame:
     c = t.raw("conversations")
     same = F.coalesce(F.col("role") == F.lag("role").over(seq.ordered(["conv_id"], "turn")), F.lit(False))
     return seq.island(c, ~same, ["conv_id"], "run", "turn").groupBy("conv_id", F.col("run").cast("long").alias("run")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"))
+
+
+# --- fitted models and injected faults: tested by their properties, not by SQL --------------------------------------------
+
+
+@query("pot_threshold")
+def pot_threshold(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    return r6(models.pot_by_group(t.users(), "kind", "v"), "threshold")
+
+
+@query("isolation_forest")
+def isolation_forest(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    return r6(models.isolation_scores(t.users(), ["v", "k"], "id", trees=50), "score")
+
+
+@query("gbt_forecast")
+def gbt_forecast(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    d = detect.exact_lag_features(t.hours(), SPEC, 1)
+    features = ["v__h1_lag0", "v__h1_lag1", "v__h1_lag3", "v__h1_diff1"]
+    cut = d.agg(F.percentile("us", 0.7)).first()[0]
+    out, chosen = models.boosted_forecast(d.where(F.col("us") < cut), d.where(F.col("us") >= cut), features, "v", "v__h1_lag0", iterations=5)
+    return r6(out.select("g", "us", "v", "forecast", F.lit(chosen).alias("model")), "v", "forecast")
+
+
+@query("rf_typer")
+def rf_typer(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    d = models.inject_faults(t.hours(), ["g"], "v", rate=0.4, length=6).withColumn("raw", F.col("v")).withColumn("v", F.col("injected"))
+    s = detect.compute_signals(d, SPEC).withColumn("label", F.coalesce(F.when(F.col("modified"), F.col("fault")), F.lit("none")))
+    names = [f"v__{x}" for x in detect.SIGNALS]
+    cut = s.agg(F.percentile("us", 0.7)).first()[0]
+    return r6(models.type_faults(s.where(F.col("us") < cut), s.where(F.col("us") >= cut), names, "label").select("g", "us", "label", "predicted", "confidence"), "confidence")
+
+
+@query("group_bootstrap_ci")
+def group_bootstrap_ci(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    return r6(models.group_bootstrap(t.labels(), "g", "y", "p"), "mean_f1", "low", "high")
+
+
+@query("fault_injection")
+def fault_injection(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    return r6(models.inject_faults(t.users(), ["kind"], "v", rate=0.1).select("kind", "id", "fault", "injected", "modified"), "injected")
+
+
+@query("rule_fault_type")
+def rule_fault_type(t: Tables) -> DataFrame:
+    from isobar.operators import models
+
+    return models.classify_event(t.users().withColumn("day", F.floor(F.col("us") / DAY)), ["kind", "day"], "v").select("kind", "day", "rows", "seen", "fault")
