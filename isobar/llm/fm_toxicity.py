@@ -26,7 +26,7 @@ from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, read_table
 
 BUCKETS = 2**22
 TRAIN_ROWS = 6_000
-MIN_DOCS, MIN_Z = 4, 3.0
+MIN_DOCS, MIN_Z = 3, 3.0
 FACTORS = 8
 _TERM = re.compile(r"\w+")
 
@@ -64,10 +64,12 @@ class Machine:
     def score(self, ids: list[int]) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(ids), -30, 30))))
 
-    def fit(self, rows: list[list[int]], y: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, batch: int = 128, seed: int = 9) -> "Machine":
+    def fit(self, rows: list[list[int]], y: np.ndarray, epochs: int = 40, rate: float = 0.2, l2: float = 1e-5, batch: int = 128, seed: int = 9) -> "Machine":
         flat = np.array([i for r in rows for i in r], np.int64)
         start = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         rng = np.random.default_rng(seed)
+        ones = y.sum()
+        weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - ones) / max(1.0, ones))), 1.0)  # the rarer label counts more
         gw, gv, gb = np.full(self.w.shape, 1e-2), np.full(self.v.shape, 1e-2), 1e-2
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -80,7 +82,7 @@ class Machine:
                 np.add.at(s, doc, v)
                 square = np.bincount(doc, (v * v).sum(axis=1), len(part))
                 z = self.bias + np.bincount(doc, self.w[ids], len(part)) + 0.5 * ((s * s).sum(axis=1) - square)
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
                 gb += g.sum() ** 2
                 self.bias -= rate * g.sum() / np.sqrt(gb)
                 used, back = np.unique(ids, return_inverse=True)
