@@ -739,3 +739,77 @@ def rule_fault_type(t: Tables) -> DataFrame:
     from isobar.operators import models
 
     return models.classify_event(t.users().withColumn("day", F.floor(F.col("us") / DAY)), ["kind", "day"], "v").select("kind", "day", "rows", "seen", "fault")
+
+
+# --- explanations and reports -------------------------------------------------------------------------------------------
+
+
+@query("channel_attribution", f"with {SIG}, l as (select g, 'near' as ch, forecast_residual as z from sig union all select g, 'far', hour_residual from sig), m as (select g, ch, quantile_cont(abs(z), 0.5) as mz from l group by 1, 2) select g, ch, round(mz, 6) as median_z, round(case when sum(mz) over (partition by g) > 0 then mz / sum(mz) over (partition by g) else 0 end, 6) as share from m")
+def channel_attribution(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    d = detect.long_signals(detect.compute_signals(t.hours(), SPEC), SPEC, ("forecast_residual", "hour_residual"))
+    d = d.select("g", F.when(F.col("signal") == "forecast_residual", "near").otherwise("far").alias("ch"), F.col("value").alias("z"))
+    return r6(report.channel_attribution(d, ["g"], "ch", "z"), "median_z", "share")
+
+
+@query("component_support", f"with {SIG}, m as (select g, avg(forecast_residual) as a, avg(abrupt_change) as b from sig group by 1) select g, 'v__forecast_residual' as component, round(coalesce(a, 0) * 0.6::double, 6) as support from m union all select g, 'v__abrupt_change', round(coalesce(b, 0) * 0.4::double, 6) from m")
+def component_support(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    return r6(report.component_support(detect.compute_signals(t.hours(), SPEC), ["g"], {"v__forecast_residual": 0.6, "v__abrupt_change": 0.4}), "support")
+
+
+@query("leave_one_out_ablation", f"""with {LABELS}, x as (select y, score / 10000.0::double as a, coalesce(quality, 0)::double as b from lab where y is not null),
+ c as (select 'none' as left_out, (0.7::double * a + 0.3::double * b) / 1.0 >= 0.3::double as hit, y from x union all select 'a', b >= 0.3, y from x union all select 'b', a >= 0.3, y from x)
+ select left_out, round(2.0::double * count(*) filter (hit and y = 1) / nullif(count(*) filter (hit) + count(*) filter (y = 1), 0), 6) as f1 from c group by 1""")
+def leave_one_out_ablation(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    d = t.labels().withColumn("a", F.col("score") / 10000.0).withColumn("b", F.coalesce(F.col("quality").cast("double"), F.lit(0.0)))
+    return r6(report.ablation(d, {"a": 0.7, "b": 0.3}, "y", 0.3), "f1")
+
+
+@query("scenario_partition", "select l_orderkey as o, l_linenumber as n, l_partkey as pk, l_shipdate as ts, case when l_returnflag in ('R') then case when month(l_shipdate) = 2 then 'test_station' end else case when month(l_shipdate) = 2 then 'test_temporal' when month(l_shipdate) <= 8 then 'fit' when month(l_shipdate) <= 10 then 'selection' else 'calibration' end end as part from lineitem")
+def scenario_partition(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    d = t.raw("lineitem")
+    return d.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_shipdate").alias("ts"), report.scenario_partition(F.col("l_returnflag"), F.col("l_shipdate"), ["R"]).alias("part"))
+
+
+@query("health_trend")
+def health_trend(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    d = detect.compute_signals(t.hours(), SPEC).select("g", "us", F.col("v__forecast_residual").alias("score"))
+    return r6(report.health_trend(d, "g", "score", 20.0), "health", "slope", "days_left")
+
+
+@query("paired_block_bootstrap")
+def paired_block_bootstrap(t: Tables) -> DataFrame:
+    from isobar.operators import report
+
+    return r6(report.block_bootstrap(detect.compute_signals(t.hours(), SPEC), "v__forecast_residual", "v__hour_residual", draws=200), "mean", "low", "high")
+
+
+@query("series_features", f"with {HOURS} select g, us, round(v - lag(v) over w, 6) as d1, round(case when count(v) over f >= 4 then stddev_samp(v) over f end, 6) as std48, round(case when count(v) over f >= 4 then quantile_cont(v, 0.5) over f end, 6) as median48, round(case when count(v) over f >= 4 then avg(v) over f end, 6) as mean48 from ev window w as (partition by g order by us), f as (partition by g order by us rows between 47 preceding and current row)")
+def series_features(t: Tables) -> DataFrame:
+    w = seq.ordered(["g"])
+    f = w.rowsBetween(-47, 0)
+    return r6(t.hours().select("g", "us", (F.col("v") - F.lag("v").over(w)).alias("d1"), seq.guarded(F.stddev_samp("v"), "v", f, 4).alias("std48"), seq.guarded(F.percentile("v", 0.5), "v", f, 4).alias("median48"), seq.guarded(F.avg("v"), "v", f, 4).alias("mean48")), "d1", "std48", "median48", "mean48")
+
+
+@query("simple_baselines", f"with {SIG} select g, us, round(greatest(coalesce(abrupt_change, 0), coalesce(forecast_residual, 0), case when v is null then 50 else 0 end), 6) as score from sig")
+def simple_baselines(t: Tables) -> DataFrame:
+    d = detect.compute_signals(t.hours(), SPEC)
+    zero = F.lit(0.0)
+    return r6(d.select("g", "us", F.greatest(F.coalesce("v__abrupt_change", zero), F.coalesce("v__forecast_residual", zero), F.when(F.col("v").isNull(), 50.0).otherwise(0.0)).alias("score")), "score")
+
+
+@query("edge_policy", f"with {THR} select signal, case when signal = 'flatline' then round(threshold * 3600, 6) else round(threshold, 6) end as edge_limit, case when signal = 'flatline' then 'seconds' else 'step' end as unit from thr where signal in ('flatline', 'abrupt_change')")
+def edge_policy(t: Tables) -> DataFrame:
+    long = detect.long_signals(detect.compute_signals(t.hours(), SPEC), SPEC)
+    thr = detect.higher_quantile(long, ["channel", "signal"], "value", 0.98).where(F.col("signal").isin("flatline", "abrupt_change"))
+    flat = F.col("signal") == "flatline"
+    return r6(thr.select("signal", F.when(flat, F.col("threshold") * 3600).otherwise(F.col("threshold")).alias("edge_limit"), F.when(flat, "seconds").otherwise("step").alias("unit")), "edge_limit")
