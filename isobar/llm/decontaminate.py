@@ -30,13 +30,13 @@ from isobar.llm.common import WordHash, mix64, read_table, shingle_hashes, word_
 BITS = 128
 RADIUS = 42
 ITEM_BLOCK = 2_000
-_SEEDS = np.array([0x51, 0xA7], np.uint64)
+_SEEDS = np.array([0x51, 0xA7], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def shingle_bits(shingles: np.ndarray) -> np.ndarray:
     """(n, BITS) of -1 and 1: the shingles' own random signs."""
-    words = np.stack([mix64(shingles + s * np.uint64(0x9E3779B97F4A7C15)) for s in _SEEDS], axis=1)
+    words = np.stack([mix64(shingles + s) for s in _SEEDS], axis=1)
     bits = np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return bits.astype(np.int8) * 2 - 1
 
