@@ -56,16 +56,23 @@ def detection_latency(df: DataFrame, keys: list[str], order: str, y: str = "y",
     return hit.agg(F.count("*").alias("segments"), F.count("first").alias("detected"), F.avg("first").alias("mean_latency"))
 
 
-def score_blocks(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def score_blocks(df: DataFrame, y: str = "y", score: str = "score", parts: int = 64) -> DataFrame:
     """Counts of both labels per distinct score with running totals from the highest score: the base of every exact sweep.
 
-    Rows are counted per score before the ordered pass, so its input is the number of distinct scores.
+    Rows are counted per score first. The ordered pass is dealt over `parts` ranges of scores (bounds from approximate
+    quantiles; they decide only the dealing), and each range starts from the totals of the ranges above it.
     """
-    b = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    return b.select(F.col(score).alias("score"), "pos", "n", F.sum("pos").over(run).alias("tp"), F.sum("n").over(run).alias("predicted"), F.sum("pos").over(whole).alias("positives"), F.sum("n").over(whole).alias("rows"))
+    b = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
+    found = b.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 1000)).first()[0]
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(found or []))]).cast("array<double>")
+    b = b.withColumn("_p", F.size(F.filter(bounds, lambda x: x <= F.col("score"))))
+    ranges = b.groupBy("_p").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    above, whole = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = F.lit(0)
+    ranges = ranges.select("_p", F.coalesce(F.sum("_pos").over(above), zero).alias("_tp"), F.coalesce(F.sum("_n").over(above), zero).alias("_pred"), F.sum("_pos").over(whole).alias("positives"), F.sum("_n").over(whole).alias("rows"))
+    run = Window.partitionBy("_p").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_itp", F.sum("pos").over(run)).withColumn("_ipred", F.sum("n").over(run)).join(F.broadcast(ranges), "_p")
+    return b.select("score", "pos", "n", (F.col("_itp") + F.col("_tp")).alias("tp"), (F.col("_ipred") + F.col("_pred")).alias("predicted"), "positives", "rows")
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
