@@ -7,10 +7,11 @@ joint likelihood of the counts of larger, smaller and equal registers, given bot
 candidate pair; links are then confirmed on the full sets.
 
 How large groups are kept linear: equal sets are one representative; in each band bucket every member is first tried with
-the bucket's smallest id only (a star), which joins a group of near copies by as many pairs as it has members. Only then
-pairs of members that are still in different components are compared, in blocks of BLOCK members dealt to many tasks, and
-only those whose likelihood estimate can reach the threshold leave the task. No bucket is capped: every pair that shares a
-band is either already connected or compared. A pair of similarity s shares no band with probability (1 - s^R)^(M/R):
+smallest id that it shares a band with (a star), which joins a group of near copies by as many pairs as it has members.
+Only then members that are still in different components are compared, in blocks of BLOCK members of a bucket dealt to many
+tasks: first each member's most likely partner of a block is confirmed, then, between the components still apart, every pair
+whose likelihood estimate can reach the threshold; these are confirmed where the block is, so only links leave the task. No bucket is capped: every pair that shares a band is either already
+connected or compared. A pair of similarity s shares no band with probability (1 - s^R)^(M/R):
 1.5e-6 at 0.75 with 50 bands of 5.
 
 Empty or null texts have an empty set: they are linked with nothing. A row with a null doc_id gets its set size and a null
@@ -98,7 +99,8 @@ def _bands(batches):
         regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(rows, count, R).astype(np.uint64)
         keys = mix64((regs * weights).sum(axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * weights[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))], names=["band", "id", "n"]
+            [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), rows)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))],
+            names=["band", "number", "id", "n"],
         )
 
 
@@ -128,48 +130,100 @@ def _confirm(percent: int):
         for f in frames:
             keep = []
             for x, y in zip(f.a_items, f.b_items):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield f.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _block_pairs(slack: float, percent: int):
-    """Pairs of one pair of blocks of a bucket: other component, sizes in ratio, likelihood estimate high enough."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = (f[f.side == 0], f[f.side == 1]) if (f.side == 1).any() else (f, f)
-        regs = np.frombuffer(b"".join(right.regs), np.uint16).reshape(len(right), M)
-        out = []
-        right_n, right_comp, right_id = right.n.to_numpy(), right.component.to_numpy(), right.id.to_numpy()
-        for i, n, comp, r in zip(left.id, left.n, left.component, left.regs):
-            ok = (right_comp != comp) & (100 * np.minimum(right_n, n) >= percent * np.maximum(right_n, n))
-            if left is right:
-                ok &= right_id > i
-            at = np.flatnonzero(ok)
-            if len(at):
-                mine = np.frombuffer(r, np.uint16)
-                estimate = jaccard_mle(*_compare(mine, regs[at]), np.full(len(at), float(n)), right_n[at].astype(float))
-                out += [(min(i, j), max(i, j)) for j in right_id[at[estimate >= percent / 100 - slack]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _block_pairs(slack: float, percent: int, best: bool):
+    """Rows sorted by (band, low, high), a pair of blocks of a bucket each, into pairs of ids.
+
+    A pair must be of different components, of sizes in ratio, and its likelihood estimate high enough; one that shares
+    several bands is looked at in the first of them only. best: of each member only the pair of the highest estimate, yet to
+    be confirmed. Otherwise the members come with their full sets and all confirmed pairs leave.
+    """
+    least = percent / 100 - slack
+
+    def pairs(t: pa.Table) -> set[tuple[int, int]]:
+        side = t.column("side").to_numpy()
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(side), M)
+        ids, sizes, comp = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
+        number, out = t.column("number")[0].as_py(), set()
+        crossed = bool((side == 1).any())
+        right = np.flatnonzero(side == 1) if crossed else np.arange(len(side))
+        for i in np.flatnonzero(side == 0):
+            ok = (comp[right] != comp[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
+            if not crossed and not best:
+                ok &= right > i
+            at = right[ok]
+            if not len(at):
+                continue
+            same = regs[i] == regs[at]
+            # the share of equal registers is the likelihood estimate's main part; well under the bound it can't reach it
+            likely = same.sum(axis=1) >= (least - 0.05) * M
+            at, same = at[likely], same[likely]
+            at = at[same.reshape(len(at), M // R, R).all(axis=2).argmax(axis=1) == number]
+            if not len(at):
+                continue
+            estimate = jaccard_mle(*_compare(regs[i], regs[at]), np.full(len(at), float(sizes[i])), sizes[at].astype(float))
+            good = at[estimate >= least]
+            if best:
+                good = at[[estimate.argmax()]] if len(good) else good
+            else:
+                items = t.column("items")
+                own = np.frombuffer(items[int(i)].as_py(), np.uint64)
+                good = [j for j in good if _similar(own, np.frombuffer(items[int(j)].as_py(), np.uint64), percent)]
+            out.update((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in good)
+        return out
+
+    def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        rows = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            if not t.num_rows:
+                continue
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "low", "high")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            found, start = set(), 0
+            for end in cuts:
+                if end - start > 1:
+                    found |= pairs(t.slice(start, end - start))
+                start = end
+            rest = t.slice(start)
+            yield batch_of(found)
+        if rest is not None and rest.num_rows > 1:
+            yield batch_of(pairs(rest))
 
     return run
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int, tag: str) -> DataFrame:
+    """The full sets of some documents: id, items."""
+    return materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items binary"), f"{tag}-sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, tag: str) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items binary"), f"{tag}-sets")
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), k, tag)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
     return materialize(both.select("a", "b", "a_items", "b_items").mapInPandas(_confirm(percent), "a long, b long"), f"{tag}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.17) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.12) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
-    slack: how far under the threshold an estimate may lie for the pair to be confirmed on full sets; 0.17 is over six
+    slack: how far under the threshold an estimate may lie for the pair to be confirmed on full sets; 0.12 is 4.4
     standard deviations of the estimate with 250 registers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -179,29 +233,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float
     member = materialize(known.select("doc_id", "n", "print").join(reps, "print").select("doc_id", "n", "rep"), "member")
     chosen = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "regs")
 
-    banded = materialize(chosen.select("doc_id", "n", "regs").mapInArrow(_bands, "band long, id long, n long"), "bands")
+    banded = materialize(chosen.select("doc_id", "n", "regs").mapInArrow(_bands, "band long, number int, id long, n long"), "bands")
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
     regs = lambda side: chosen.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs"))
 
-    star = buckets.where("id <> hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    star = buckets.where("id <> hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     star = materialize(star.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "a_n", "b_n", "a_regs", "b_regs").mapInPandas(_likely(slack, percent), "a long, b long"), "star")
     links = _verified(star, docs, percent, k, "star")
     component = connected_components(links, "star")
 
-    placed = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low <> high")
-    # a bucket of two was compared by its star already
-    open_rows = placed.join(mixed.where("c > 2").select("band", "c"), "band")
-    open_rows = materialize(open_rows.select("band", "id", "component", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
-    if not open_rows.isEmpty():
-        dealt = open_rows.select("band", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        dealt = dealt.select("band", "id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-        dealt = dealt.join(chosen.withColumnRenamed("doc_id", "id"), "id")
-        more = dealt.groupBy("band", "low", "high").applyInPandas(_block_pairs(slack, percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-        more_links = _verified(materialize(more, "blocks"), docs, percent, k, "blocks")
-        if not more_links.isEmpty():
-            component = connected_components(links.unionByName(more_links), "all")
+    for best in (True, False):
+        tag = "best" if best else "rest"
+        placed = buckets.select("band", "number", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low <> high").select("band", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+        rows = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = materialize(rows.select("band", "number", "id", "component", "blocks", "block"), f"{tag}-open")
+        if rows.isEmpty():
+            break
+        facts = chosen.withColumnRenamed("doc_id", "id")
+        if not best:
+            facts = facts.join(_full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), k, tag), "id")
+        dealt = rows.select("band", "number", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        dealt = dealt.select("band", "number", "id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+        order = ["band", "low", "high"]
+        dealt = dealt.join(facts, "id").repartition(*order).sortWithinPartitions(*order)
+        pairs = materialize(dealt.mapInArrow(_block_pairs(slack, percent, best), "a long, b long").distinct(), f"{tag}-pairs")
+        found = _verified(pairs, docs, percent, k, tag) if best else pairs
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            component = connected_components(links, tag)
 
     final = member.select("doc_id", "rep").distinct().join(component.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     rows = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
