@@ -10,7 +10,8 @@ How large groups are kept linear: equal sets are one representative; in each ban
 smallest id that it shares a band with (a star), which joins a group of near copies by as many pairs as it has members.
 Only then members that are still in different components are compared, in blocks of BLOCK members of a bucket dealt to many
 tasks: first each member's most likely partner of a block is confirmed, then, between the components still apart, every pair
-whose likelihood estimate can reach the threshold; these are confirmed where the block is, so only links leave the task. No bucket is capped: every pair that shares a band is either already
+whose likelihood estimate can reach the threshold; these are first held against each other under cut hashes where the block
+is, which loses no link, so little more than links leaves the task to be confirmed on full sets. No bucket is capped: every pair that shares a band is either already
 connected or compared. A pair of similarity s shares no band with probability (1 - s^R)^(M/R):
 1.5e-6 at 0.75 with 50 bands of 5.
 
@@ -31,7 +32,9 @@ from isobar.llm.common import WordHash, connected_components, materialize, mix64
 
 M, R = 250, 5
 A, B, Q = 20.0, 1.001, 2**16 - 2
-BLOCK = 256
+BLOCK = 1024
+#: Sets of up to so many shingles are compared under 16 bits a shingle first, larger ones under 32.
+NARROW = 4096
 _rng = np.random.default_rng(20_240_501)
 _MULT = (_rng.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, M, dtype=np.uint32)
@@ -104,11 +107,12 @@ def _bands(batches):
         )
 
 
-def _sets(k: int):
+def _sets(k: int, short: bool = False):
     def run(batches):
         cache = WordHash()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, cache, k).tobytes() for t in _texts(batch)], pa.binary())], names=["id", "items"])
+            sets = (shingle_set(t, cache, k) for t in _texts(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_short(x) if short else x.tobytes() for x in sets], pa.binary())], names=["id", "short" if short else "items"])
 
     return run
 
@@ -141,22 +145,48 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _short(items: np.ndarray) -> bytes:
+    """A set's hashes cut to 16 bits (32 for large sets), sorted."""
+    kind = np.uint16 if len(items) <= NARROW else np.uint32
+    return np.sort(items.astype(kind)).tobytes()
+
+
+def _numbered(short: bytes, n: int, narrow: bool) -> np.ndarray:
+    """Cut hashes as distinct numbers: the value and how often it came before."""
+    v = np.frombuffer(short, np.uint16 if n <= NARROW else np.uint32)
+    if narrow and n > NARROW:
+        v = np.sort(v.astype(np.uint16))
+    first = np.searchsorted(v, v, side="left")
+    return v.astype(np.int64) * 2**20 + (np.arange(len(v)) - first)
+
+
 def _block_pairs(slack: float, percent: int, best: bool):
     """Rows sorted by (band, low, high), a pair of blocks of a bucket each, into pairs of ids.
 
     A pair must be of different components, of sizes in ratio, and its likelihood estimate high enough; one that shares
-    several bands is looked at in the first of them only. best: of each member only the pair of the highest estimate, yet to
-    be confirmed. Otherwise the members come with their full sets and all confirmed pairs leave.
+    several bands is looked at in the first of them only. best: of each member only the pair of the highest estimate.
+    Otherwise the members come with their sets under cut hashes. Cutting can only make sets more alike, so a pair whose
+    cut sets stay under the threshold is none; the others leave the task and are confirmed on full sets.
     """
     least = percent / 100 - slack
 
-    def pairs(t: pa.Table) -> set[tuple[int, int]]:
+    def pairs(t: pa.Table) -> list[tuple[int, int, float]]:
         side = t.column("side").to_numpy()
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(side), M)
         ids, sizes, comp = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
-        number, out = t.column("number")[0].as_py(), set()
+        short = None if best else t.column("short").to_pylist()
+        number, out = t.column("number")[0].as_py(), []
         crossed = bool((side == 1).any())
         right = np.flatnonzero(side == 1) if crossed else np.arange(len(side))
+        cut: dict[tuple[int, bool], np.ndarray] = {}
+
+        def alike(i: int, j: int) -> bool:
+            narrow = min(sizes[i], sizes[j]) <= NARROW
+            for k in (i, j):
+                if (k, narrow) not in cut:
+                    cut[k, narrow] = _numbered(short[k], int(sizes[k]), narrow)
+            return _similar(cut[i, narrow], cut[j, narrow], percent)
+
         for i in np.flatnonzero(side == 0):
             ok = (comp[right] != comp[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
             if not crossed and not best:
@@ -172,19 +202,15 @@ def _block_pairs(slack: float, percent: int, best: bool):
             if not len(at):
                 continue
             estimate = jaccard_mle(*_compare(regs[i], regs[at]), np.full(len(at), float(sizes[i])), sizes[at].astype(float))
-            good = at[estimate >= least]
-            if best:
-                good = at[[estimate.argmax()]] if len(good) else good
-            else:
-                items = t.column("items")
-                own = np.frombuffer(items[int(i)].as_py(), np.uint64)
-                good = [j for j in good if _similar(own, np.frombuffer(items[int(j)].as_py(), np.uint64), percent)]
-            out.update((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in good)
+            at, estimate = at[estimate >= least], estimate[estimate >= least]
+            if best and len(at):
+                at, estimate = at[[estimate.argmax()]], estimate[[estimate.argmax()]]
+            out += [(int(ids[i]), int(ids[j]), float(e)) for j, e in zip(at, estimate) if best or alike(int(i), int(j))]
         return out
 
-    def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        rows = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["a", "b"])
+    def batch_of(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        kinds = (("id", pa.int64()), ("other", pa.int64()), ("estimate", pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     def run(batches):
         rest = None
@@ -195,10 +221,10 @@ def _block_pairs(slack: float, percent: int, best: bool):
                 continue
             key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "low", "high")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            found, start = set(), 0
+            found, start = [], 0
             for end in cuts:
                 if end - start > 1:
-                    found |= pairs(t.slice(start, end - start))
+                    found += pairs(t.slice(start, end - start))
                 start = end
             rest = t.slice(start)
             yield batch_of(found)
@@ -253,13 +279,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float
             break
         facts = chosen.withColumnRenamed("doc_id", "id")
         if not best:
-            facts = facts.join(_full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), k, tag), "id")
+            wanted = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            facts = facts.join(materialize(wanted.mapInArrow(_sets(k, short=True), "id long, short binary"), "short").dropDuplicates(["id"]), "id")
         dealt = rows.select("band", "number", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         dealt = dealt.select("band", "number", "id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
         order = ["band", "low", "high"]
         dealt = dealt.join(facts, "id").repartition(*order).sortWithinPartitions(*order)
-        pairs = materialize(dealt.mapInArrow(_block_pairs(slack, percent, best), "a long, b long").distinct(), f"{tag}-pairs")
-        found = _verified(pairs, docs, percent, k, tag) if best else pairs
+        seen = dealt.mapInArrow(_block_pairs(slack, percent, best), "id long, other long, estimate double")
+        if best:
+            seen = seen.groupBy("id").agg(F.max_by("other", F.struct("estimate", -F.col("other"))).alias("other"))
+        pairs = materialize(seen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{tag}-pairs")
+        found = _verified(pairs, docs, percent, k, tag)
         if not found.isEmpty():
             links = links.unionByName(found)
             component = connected_components(links, tag)
