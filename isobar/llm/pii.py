@@ -3,7 +3,7 @@
 Found and replaced where they stand, in whole texts:
   card    13 to 19 digits, single spaces or hyphens between them allowed, that pass the Luhn check: all digits but the last
           are permuted and the check digit is computed anew, so a pseudonym passes it too
-  phone   +c (ddd) ddd-dddd and the like, area and exchange codes from 2: they keep that form and the country code
+  phone   +c (ddd) ddd-dddd and the like; codes from 2 stay so, the country code and the punctuation stay
   ssn     ddd-dd-dddd
   ipv4    four numbers up to 255, permuted as four numbers up to 255
   date    yyyy-mm-dd or dd.mm.yyyy / mm/dd/yyyy of a real calendar day from 1900 to 2099, permuted among those days
@@ -38,7 +38,7 @@ PATTERNS = {
     "iso": _B + r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])" + _E,
     "dmy": _B + r"(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d" + _E,
     "mdy": _B + r"(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d\d" + _E,
-    "phone": r"(?<![\w.-])(?:\+?\d{1,3}[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}" + _E,
+    "phone": r"(?<![\w.-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}" + _E,
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}" + _E,
 }
@@ -83,10 +83,13 @@ def pseudonym_sql(m: str, key: str) -> str:
     ten = lambda value: f"transform({_digits(value)}, d -> 10)"
     plain = lambda kind, value: f"array_join({feistel_sql(_digits(value), ten(value), kind, key)}, '')"
     card = _let("d", f"regexp_replace({m}, '[^0-9]', '')", _let("p", plain("card", "substr(d, 1, length(d) - 1)"), _refill(m, f"concat(p, cast((10 - {_luhn_total('p', 1)} % 10) % 10 as string))")))
-    # area and exchange codes start from 2: their first digits have eight values
+    # area and exchange codes start from 2, their first digits have eight values; a code from 0 or 1 keeps its class of two
     national = f"right(regexp_replace({m}, '[^0-9]', ''), 10)"
-    eight = "case when i in (0, 3) then 8 else 10 end"
-    phone = _let("d", national, _let("p", f"array_join(transform({feistel_sql(f'transform({_digits("d")}, (x, i) -> x - case when i in (0, 3) then 2 else 0 end)', f'transform({_digits("d")}, (x, i) -> {eight})', 'phone', key)}, (x, i) -> x + case when i in (0, 3) then 2 else 0 end), '')", _refill(m, f"concat(substr(regexp_replace({m}, '[^0-9]', ''), 1, length(regexp_replace({m}, '[^0-9]', '')) - 10), p)")))
+    low = "case when i in (0, 3) and x >= 2 then 2 else 0 end"
+    room = "case when i not in (0, 3) then 10 when x < 2 then 2 else 8 end"
+    moved = feistel_sql(f"transform(d, (x, i) -> x - {low})", f"transform(d, (x, i) -> {room})", "phone", key)
+    before = f"substr(regexp_replace({m}, '[^0-9]', ''), 1, length(regexp_replace({m}, '[^0-9]', '')) - 10)"
+    phone = _let("d", _digits(national), _let("f", moved, _let("p", f"array_join(transform(d, (x, i) -> f[i] + {low}), '')", _refill(m, f"concat({before}, p)"))))
     ssn = _refill(m, plain("ssn", m))
     octets = f"transform(split({m}, '[.]'), x -> cast(x as int))"
     ip = f"array_join({feistel_sql(octets, 'array(256, 256, 256, 256)', 'ipv4', key)}, '.')"
