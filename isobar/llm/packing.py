@@ -32,7 +32,7 @@ MAX_TOKENS = 4096
 SEPARATOR_ID = 2
 MAX_SLOTS = 2_000_000
 #: Units remembered per worker (about 150 bytes each).
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_500_000
 
 
 #: Characters whose reading by the tokenizer is plain: letters, digits and signs that its normaliser only lower-cases.
