@@ -2,13 +2,15 @@
 
 Found and replaced where they stand, in whole texts:
   card    13 to 19 digits, single spaces or hyphens between them allowed, that pass the Luhn check: all digits but the last
-          are permuted and the check digit is computed anew, so a pseudonym passes it too
+          are permuted and the check digit is computed anew, so a pseudonym passes it too. A longer row of digit groups (a card
+          and its code or expiry) is tried at each of its group borders; a card in a usual grouping goes before any other cut
   phone   +c (ddd) ddd-dddd and the like; codes from 2 stay so, the country code and the punctuation stay
   ssn     ddd-dd-dddd
   ipv4    four numbers up to 255, permuted as four numbers up to 255
   date    yyyy-mm-dd or dd.mm.yyyy / mm/dd/yyyy of a real calendar day from 1900 to 2099, permuted among those days
   email   letters and digits of the local part, each within its class
-  secret  hexadecimal values given to password, token, secret or api_key
+  secret  hexadecimal values of 12 digits or more given to password, token, secret or api_key, in either case; where a value
+          has upper-case letters, letters and digits stay within their class
 The permutation depends on the key, the kind and the format only: an equal value has the same pseudonym in all documents, in
 whichever punctuation; different values of a format have different pseudonyms.
 
@@ -33,16 +35,19 @@ DAYS = 73_049  # 1900-01-01 to 2099-12-31
 _B, _E = r"(?<![\w.-])", r"(?![\w-])"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key)\s?[=:]\s?[\"']?)[0-9a-f]{12,128}(?![\w])",
+    "secret": r"(?<=(?i:password|passwd|token|secret|api_key)\s?[=:]\s?[\"']?)[0-9a-fA-F]{12,}(?![\w])",
     "ipv4": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d)",
     "iso": _B + r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])" + _E,
     "dmy": _B + r"(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d" + _E,
     "mdy": _B + r"(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d\d" + _E,
     "phone": r"(?<![\w.-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}" + _E,
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}" + _E,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Digit groups with single spaces or hyphens between them; possessive, so that rows of any length are read without recursion.
+_BLOCK = r"\d++(?:-\d++)*+(?![\w-])"
+DIGIT_ROW = rf"(?<![\w-]){_BLOCK}(?: {_BLOCK})*+"
+USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 _CLASSES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -54,6 +59,7 @@ def feistel_sql(symbols: str, radices: str, kind: str, key: str, rounds: int = R
     """SQL of the permuted symbols (array<int>), both arguments SQL of array<int>."""
     other = f"concat_ws(':', {_sql(key)}, {_sql(kind)}, cast(r as string), array_join(w.q, ','), array_join(filter(v, (s, j) -> j % 2 = r % 2), ','))"
     move = f"cast(conv(substr(sha2(concat(o, cast(i div 32 as string)), 512), 1 + 4 * (i % 32), 4), 16, 10) as int)"
+    other = f"transform(array({other}), o -> case when size(v) > 128 then sha2(o, 512) else o end)[0]"  # each symbol hashes it
     once = f"transform(array({other}), o -> transform(v, (s, i) -> case when i % 2 = r % 2 then s else (s + {move}) % w.q[i] end))[0]"
     return f"transform(array(struct({symbols} as v0, {radices} as q)), w -> aggregate(sequence(1, {rounds}), w.v0, (v, r) -> {once}))[0]"
 
@@ -77,6 +83,24 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def cards_sql(text: str) -> str:
+    """SQL of the distinct cards (array<string>, longest first) among the group borders of a text's digit rows.
+
+    A usual grouping or an unbroken number that passes the Luhn check takes its groups; other cuts that pass it must not touch it.
+    """
+    bare = lambda value: f"regexp_replace({value}, '[^0-9]', '')"
+    passes = lambda value: _let("z", bare(value), f"length(z) between 13 and 19 and {_luhn_total('z', 0)} % 10 = 0")  # noqa: E731  bound outside the sum's own names
+    cut = lambda i, k: f"regexp_replace(array_join(slice(p, {i}, {k}), ''), '[ -]$', '')"
+    usual = f"coalesce(array_max(filter(array(1, 3, 4), k -> i + k - 1 <= size(p) and {cut('i', 'k')} rlike {_sql(USUAL_CARD)} and {passes(cut('i', 'k'))})), 0)"
+    touches = "exists(sequence(greatest(1, i - 3), i + k - 1), a -> u[a - 1] > 0 and a + u[a - 1] > i)"
+    others = f"transform(filter(sequence(1, least(19, size(p) - i + 1)), k -> not {touches} and {passes(cut('i', 'k'))}), k -> {cut('i', 'k')})"
+    of_row = f"flatten(transform(sequence(1, size(p)), i -> case when u[i - 1] > 0 then array({cut('i', 'u[i - 1]')}) else {others} end))"
+    of_row = _let("p", f"split(x, {_sql('(?<=[ -])')}, -1)", _let("u", f"transform(sequence(1, size(p)), i -> {usual})", of_row))
+    rows = f"filter(regexp_extract_all({text}, {_sql(DIGIT_ROW)}, 0), x -> length({bare('x')}) >= 13)"
+    found = f"array_sort(array_distinct(flatten(transform({rows}, x -> {of_row}))), (a, b) -> length(b) - length(a))"
+    return f"case when {text} rlike {_sql('[0-9](?:[ -]?[0-9]){12}')} then {found} else cast(array() as array<string>) end"
+
+
 def pseudonym_sql(m: str, key: str) -> str:
     """SQL of struct(kind, replacement) for a found value; kind is null for values that fail validation."""
     whole = {k: _sql(f"^(?:{p})$") for k, p in PATTERNS.items()}
@@ -104,6 +128,8 @@ def pseudonym_sql(m: str, key: str) -> str:
     email = _let("s", index, _let("f", feistel_sql(f"transform(s, x -> x - {shift})", f"transform(s, x -> {radix})", "email", key), _let("t", f"array_join(transform(f, (y, i) -> substr('{_CLASSES}', 1 + y + transform(s, x -> {shift})[i], 1)), '')",
         f"concat(array_join(transform(split({local}, ''), (c, i) -> case when c rlike '[A-Za-z0-9]' then substr(t, length(regexp_replace(substr({local}, 1, i + 1), '[^A-Za-z0-9]', '')), 1) else c end), ''), '@', substring_index({m}, '@', -1))")))
     secret = f"array_join(transform({feistel_sql(f"transform(split({m}, ''), c -> locate(c, '{_CLASSES}') - 1)", f"transform(split({m}, ''), c -> 16)", 'secret', key)}, x -> substr('{_CLASSES}', x + 1, 1)), '')"
+    start = "case when c rlike '[0-9]' then 0 when c rlike '[a-f]' then 10 else 36 end"
+    cased = _let("s", f"split({m}, '')", _let("f", feistel_sql(f"transform(s, c -> locate(c, '{_CLASSES}') - 1 - {start})", "transform(s, c -> case when c rlike '[0-9]' then 10 else 6 end)", "secret", key), f"array_join(transform(s, (c, i) -> substr('{_CLASSES}', 1 + f[i] + {start}, 1)), '')"))
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     as_pair = lambda kind, value: f"struct('{kind}' as kind, {value} as value)"
     return f"""case
@@ -115,18 +141,21 @@ def pseudonym_sql(m: str, key: str) -> str:
         when {m} rlike {whole["phone"]} then {as_pair("phone", phone)}
         when {m} rlike {whole["ssn"]} then {as_pair("ssn", ssn)}
         when {m} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and {_luhn_total(digits, 0)} % 10 = 0 then {as_pair("card", card)}
-        when {m} rlike '[a-f]' and {m} rlike '^[0-9a-f]{{12,}}$' then {as_pair("secret", secret)}
+        when {m} rlike '^[0-9a-f]{{12,}}$' then {as_pair("secret", secret)}
+        when {m} rlike '^[0-9a-fA-F]{{12,}}$' then {as_pair("secret", cased)}
         else struct(cast(null as string) as kind, {m} as value) end"""
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """All columns of docs with the text pseudonymised, plus _pii: array of struct(kind, value), the pseudonyms in order."""
-    found = F.expr(f"case when {text} rlike '[0-9@]' then regexp_extract_all({text}, {_sql(f'({ANY})')}, 1) else array() end")
-    rows = docs.withColumn("_found", F.coalesce(found, F.expr("cast(array() as array<string>)")))
+    pattern = f"case when size(_cards) = 0 then {_sql(ANY)} else concat({_sql(ANY + r'|(?<!\w)(?:')}, array_join(_cards, '|'), {_sql(r')(?!\w)')}) end"
+    found = F.expr(f"case when {text} rlike '[0-9@]|[Pp][Aa][Ss][Ss][Ww]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_' then regexp_extract_all({text}, _pattern, 0) else array() end")
+    rows = docs.withColumn("_cards", F.expr(cards_sql(text))).withColumn("_pattern", F.expr(pattern))
+    rows = rows.withColumn("_found", F.coalesce(found, F.expr("cast(array() as array<string>)")))
     rows = rows.withColumn("_made", F.expr(f"transform(_found, m -> {pseudonym_sql('m', key)})"))
-    parts = f"split({text}, {_sql(ANY)}, -1)"
+    parts = f"split({text}, _pattern, -1)"
     rebuilt = F.expr(f"case when size(_found) = 0 then {text} else concat_ws('', transform({parts}, (p, i) -> concat(p, coalesce(get(_made, i).value, '')))) end")
-    return rows.withColumn(text, rebuilt).withColumn("_pii", F.expr("filter(_made, x -> x.kind is not null)")).drop("_found", "_made")
+    return rows.withColumn(text, rebuilt).withColumn("_pii", F.expr("filter(_made, x -> x.kind is not null)")).drop("_cards", "_pattern", "_found", "_made")
 
 
 def op9_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -207,6 +207,23 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"password=[0-9a-f]{18}", got[6].text.split()[-1])
 
 
+def test_pseudonyms_at_group_borders_and_of_any_case(spark):
+    card, upper = "4111 1111 1111 1111", "9233A8EC5B7D0F4A"
+    texts = [f"{card} 123", "4111111111111111 12/27", f"12 {card}", "4111-1111-1111-1111-123", f"{card} 555 223-4567", f"{card} 5500 0000 0000 0004", "411111 1111111111 77", f"{card} {card} " * 300]
+    texts += [f'TOKEN = "{upper}"', f"Password={upper.title()}", "api_key: " + "0a" * 100, "secret=123456789012", "4111 1111 1111 1112 123", "5 4 3 2 1 " * 3000]
+    texts += ["token=abcdefabcdef", "token=" + "9F" * 5000]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, list(enumerate(texts)), extra=True)).collect()}
+    digits = lambda x: re.sub(r"\D", "", x)
+    cards = [digits(x.value) for i in range(8) for x in got[i]._pii if x.kind == "card"]
+    assert len(cards) == 8 + 600 and not any("4111111111111111" in digits(got[i].text) for i in range(8))
+    assert len(set(cards)) == 2 and [x.kind for x in got[4]._pii] == ["card", "phone"]
+    assert got[0].text.endswith(" 123") and got[1].text.endswith(" 12/27") and got[2].text.startswith("12 ") and got[6].text.endswith(" 77")
+    for i, value in [(8, upper), (9, upper.title()), (10, "0a" * 100), (11, "123456789012"), (14, "abcdefabcdef"), (15, "9F" * 5000)]:
+        assert [x.kind for x in got[i]._pii] == ["secret"] and value not in got[i].text and len(got[i].text) == len(texts[i])
+    assert re.fullmatch(r'TOKEN = "\d{4}[A-F]\d[A-F]{2}\d[A-F]\d[A-F]\d[A-F]\d[A-F]"', got[8].text) and re.fullmatch("api_key: [0-9a-f]{200}", got[10].text)
+    assert got[12].text == texts[12] and len(got[13].text) == len(texts[13])
+
+
 def test_feistel_is_a_permutation(spark):
     e = pii.feistel_sql("array(cast(id div 10 as int), cast(id % 10 as int))", "array(7, 10)", "t", "k")
     got = [tuple(r[0]) for r in spark.range(70).select(F.expr(e)).collect()]
