@@ -1,6 +1,7 @@
 """Language identification with a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are labelled with languages. A word's features are its affixes, its character n-grams
+Words (runs of letters, lower-cased) are labelled with languages. A run of more than LETTERS letters (a clause, in scripts
+without spaces) is read whole, as pieces that overlap by two letters, each a word of its own. A word's features are its affixes, its character n-grams
 and itself if the lexicon of the training words holds it; label-to-label transitions are learned with them by maximising the
 conditional likelihood with forward-backward. Documents carry one language each, so training chains are spliced from spans
 of several documents: the transitions then learn how code-switched text changes language. A document's answer is the
@@ -29,17 +30,24 @@ TRAIN_DOCS = 150
 SPANS = 24
 CHAIN = 64
 FEATURES = 2**16
-#: Letters of a word that its n-grams cover; a longer word keeps its first ones and its last three.
+#: Letters of the longest word; longer runs of letters are read in pieces.
 LETTERS = 24
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; pieces of a long run share two letters, so that each of its trigrams is in just one."""
+    words = _WORD.findall(text.lower()) if text else []
+    if words and max(map(len, words)) > LETTERS:
+        words = [w[i : i + LETTERS] for w in words for i in range(0, max(1, len(w) - 2), LETTERS - 2)]
+    return words
+
+
 def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """(n, WIDTH) hashed features of each word: bigrams and trigrams of <word>, affixes of 1 to 3, itself if known; FEATURES pads."""
+    """(n, WIDTH) hashed features of each word of at most LETTERS letters: bigrams and trigrams of <word>, affixes of 1 to 3, itself if known; FEATURES pads."""
     n = len(words)
-    cut = [w if len(w) <= LETTERS else w[: LETTERS - 3] + w[-3:] for w in words]
-    size = np.fromiter(map(len, cut), np.int64, n)
-    text = "".join([f"<{w}>".ljust(LETTERS + 2, "\0") for w in cut])
+    size = np.fromiter(map(len, words), np.int64, n)
+    text = "".join([f"<{w}>".ljust(LETTERS + 2, "\0") for w in words])
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(n, LETTERS + 2)
     at = np.arange(LETTERS + 2)
     tail = lambda k: np.take_along_axis(c, np.clip(size + 1 - k, 1, None)[:, None], axis=1)[:, 0]  # noqa: E731  k-th letter from the end
@@ -169,7 +177,7 @@ class Labeller:
         k = len(self.model.labels)
         if not k or not texts:
             return [("und", 0.0)] * len(texts)
-        emissions = self.scores([_WORD.findall(t.lower()) if t else [] for t in texts])
+        emissions = self.scores([words_of(t) for t in texts])
         lengths = np.array([len(e) for e in emissions])
         chains = -(-lengths // CHAIN)
         owner = np.repeat(np.arange(len(texts)), chains)
@@ -200,7 +208,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 11) -> Cr
     rows = docs.where(F.col("doc_id").isin([i for i, _ in chosen])).where("lang is not null").select("doc_id", "text", "lang").collect() if chosen else []
     by_label: dict[str, list[list[str]]] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"] or "")):
-        words = _WORD.findall((r["text"] or "").lower())
+        words = words_of(r["text"])
         if words:
             by_label.setdefault(r["lang"], []).append(words)
     labels, rng = sorted(by_label), np.random.default_rng(seed)

@@ -253,6 +253,21 @@ def test_language_on_held_out(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count() > 0
 
 
+def test_language_reads_long_runs_of_letters():
+    rng = np.random.default_rng(4)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    model = crf_language.Crf(["a", "b"], [])
+    chains = [(crf_language.words_of(run(x, 60)), y) for x, y in (("abcd", 0), ("wxyz", 1)) * 200]
+    model.fit([(w, np.full(len(w), y)) for w, y in chains])
+    text = run("abcd", 21) + run("wxyz", 2000) + run("abcd", 3)  # the ends speak for one language, nearly all of it for the other
+    (label, score), (same, _) = crf_language.Labeller(model).label([text, run("abcd", 500)])
+    assert (label, same) == ("b", "a") and score > 0.9
+    whole = run("abcdefgh", 500)
+    pieces = crf_language.words_of(whole)
+    assert max(map(len, pieces)) <= crf_language.LETTERS and pieces[0] + "".join(p[2:] for p in pieces[1:]) == whole
+    assert crf_language.words_of("A" * 24 + " b") == ["a" * 24, "b"] and crf_language.words_of(None) == []
+
+
 def test_classifiers_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
