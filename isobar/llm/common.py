@@ -10,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Label values that are sampled with a query each; more of them are ranked in one.
+FEW_CLASSES = 16
+#: Parts a class is dealt to before its rows are ranked, so that no task orders a whole class.
+CLASS_PARTS = 64
 #: Entries a worker keeps in a word cache before it starts afresh; bounds its memory whatever the vocabulary.
 CACHE_WORDS = 400_000
 
@@ -54,8 +58,16 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def bounded_ids(candidates: DataFrame, per_class: int, label: str) -> list[tuple[int, object]]:
-    """At most per_class ids of each label value, those with the smallest hash of the id: a bounded, repeatable sample."""
-    classes = [r[0] for r in candidates.select(label).distinct().orderBy(label).limit(256).collect()]
+    """At most per_class ids of each label value, those with the smallest hash of the id: a repeatable sample.
+
+    It grows with the label values only; every one of them is in it.
+    """
+    classes = [r[0] for r in candidates.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(FEW_CLASSES + 1).collect()]
+    if len(classes) > FEW_CLASSES:
+        rows = candidates.where(F.col(label).isNotNull()).select(F.col("doc_id"), F.col(label).alias("_label"), F.xxhash64("doc_id").alias("_h"))
+        for keys in (["_label", F.pmod("_h", F.lit(CLASS_PARTS))], ["_label"]):
+            rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).where(F.col("_rank") <= per_class)
+        return [(r[0], r[1]) for r in rows.orderBy("_label", "_rank").select("doc_id", "_label").collect()]
     out: list[tuple[int, object]] = []
     for value in classes:
         rows = candidates.where(F.col(label) == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()

@@ -11,7 +11,7 @@ Chains are runs of CHAIN words; all chains of a batch go through forward-backwar
 per word position. A word's label scores are remembered, so features are built once per word and worker.
 
 The training sample is bounded: TRAIN_DOCS documents of each language (those with the smallest hash of doc_id), SPANS spans of
-each. Null or letterless texts give `und` with score 0. A null doc_id has a null held_out. Repeated rows are labelled
+each; all languages are learned, however many, and batches and memories shrink as their number grows. Null or letterless texts give `und` with score 0. A null doc_id has a null held_out. Repeated rows are labelled
 each. Extra columns are ignored. With no labelled row every text is `und`; an empty table gives an empty result.
 """
 
@@ -30,6 +30,8 @@ TRAIN_DOCS = 150
 SPANS = 24
 CHAIN = 64
 FEATURES = 2**16
+#: Labels up to which batches have their full size.
+WIDE = 16
 #: Letters of the longest word; longer runs of letters are read in pieces.
 LETTERS = 24
 _WORD = re.compile(r"[^\W\d_]+")
@@ -154,16 +156,18 @@ class Labeller:
 
     def __init__(self, model: Crf):
         self.model, self.known = model, {}
-        self.table = np.zeros((CACHE_WORDS, len(model.labels)), np.float32)
+        self.room = max(4096, min(CACHE_WORDS, 2**24 // max(1, len(model.labels))))
+        self.chains = max(16, 2048 * WIDE // max(WIDE, len(model.labels)))
+        self.table = np.zeros((self.room, len(model.labels)), np.float32)
 
     def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list(set().union(*texts).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.room:
             if len(texts) > 1:  # fewer texts at a time, with an empty memory
                 middle = len(texts) // 2
                 return self.scores(texts[:middle]) + self.scores(texts[middle:])
             self.known.clear()
-            half = CACHE_WORDS // 2
+            half = self.room // 2
             if len(texts[0]) > half:
                 return [np.concatenate([self.scores([texts[0][i : i + half]])[0] for i in range(0, len(texts[0]), half)])]
             new = list(set(texts[0]))
@@ -190,11 +194,11 @@ class Labeller:
             scores[at[i] : at[i] + len(e)] = e
             mask[at[i] : at[i] + len(e)] = True
         total = np.zeros((len(texts), k))
-        for b in range(0, len(owner), 2048):
-            rows = slice(b * CHAIN, (b + 2048) * CHAIN)
+        for b in range(0, len(owner), self.chains):
+            rows = slice(b * CHAIN, (b + self.chains) * CHAIN)
             s, m = scores[rows].reshape(-1, CHAIN, k).transpose(1, 0, 2), mask[rows].reshape(-1, CHAIN).T
             post, _, _ = forward_backward(s, m, self.model.trans, self.model.first)
-            np.add.at(total, owner[b : b + 2048], (post * m[:, :, None]).sum(axis=0))
+            np.add.at(total, owner[b : b + self.chains], (post * m[:, :, None]).sum(axis=0))
         out = []
         for n, t in zip(lengths, total):
             best = int(t.argmax())
@@ -243,7 +247,8 @@ def _predict(model: Crf):
         labeller = Labeller(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [x for i in range(0, len(texts), 256) for x in labeller.label(texts[i : i + 256])]
+            step = max(1, 256 * WIDE // max(WIDE, len(model.labels)))
+            found = [x for i in range(0, len(texts), step) for x in labeller.label(texts[i : i + step])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run

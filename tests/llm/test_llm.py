@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.llm import bt_quality, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
+from isobar.llm import bt_quality, common, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
 from isobar.llm.common import connected_components, gapless_rank
 
 ODD = [(1, None), (2, ""), (3, "   \n "), (4, "one two"), (5, "one two"), (6, "12 !!"), (7, "x"), (8, "long " * 30_000), (8, "long " * 30_000), (None, "no id here at all")]
@@ -253,6 +253,19 @@ def test_language_on_held_out(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count() > 0
 
 
+def test_sample_has_every_label(spark, monkeypatch):
+    d = spark.range(3000).selectExpr("id as doc_id", "if(id < 2990, concat('l', id % 299), null) as lang", "cast('' as string) as text").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "zz").otherwise(F.col("lang")))
+    got = common.bounded_ids(d, 5, "lang")
+    assert {v for _, v in got} == {f"l{i}" for i in range(299)} | {"zz"} and max(Counter(v for _, v in got).values()) == 5
+    few = d.where("lang in ('l1', 'l2', 'zz')")
+    want = common.bounded_ids(few, 5, "lang")
+    monkeypatch.setattr(common, "FEW_CLASSES", 1)
+    assert common.bounded_ids(few, 5, "lang") == want and len(want) == 15
+    model = crf_language.Crf([f"l{i}" for i in range(300)], [])
+    model.weights[:, 7] = 1.0
+    assert [x[0] for x in crf_language.Labeller(model).label(["some words here", "others " * 5000, ""])] == ["l7", "l7", "und"]
+
+
 def test_language_reads_long_runs_of_letters():
     rng = np.random.default_rng(4)
     run = lambda letters, n: "".join(rng.choice(list(letters), n))
