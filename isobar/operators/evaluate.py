@@ -99,9 +99,18 @@ def threshold_sweep(df: DataFrame, y: str = "y", score: str = "score", floor: fl
     return b.agg(best.alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.predicted").alias("predicted"), F.col("b.positives").alias("positives"), F.col("b.f1").alias("f1"))
 
 
-def background_capped_threshold(df: DataFrame, grid: list[float], y: str = "y", score: str = "score", cap: float = 0.02) -> DataFrame:
-    """Of a grid of thresholds, the best by (F1, recall, lower) among those that flag at most `cap` of the label-0 rows."""
-    flags = df.where(F.col(y).isNotNull()).select(y, score, F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
+def background_capped_threshold(df: DataFrame, grid: list[float] | None = None, y: str = "y", score: str = "score", cap: float = 0.02, quantiles: tuple[float, ...] = (0.95, 0.98, 0.99, 0.995, 0.999), no_alarm: bool = True) -> DataFrame:
+    """Of candidate thresholds, the best by (F1, recall, lower) among those that flag at most `cap` of the label-0 rows.
+
+    Candidates are a grid (by default every hundredth of the score range from .05 to .99), quantiles of the scores, and an
+    infinite threshold that flags nothing.
+    """
+    known = df.where(F.col(y).isNotNull()).select(y, score)
+    lo, hi = F.min(score), F.max(score)
+    fixed = [lo + (hi - lo) * F.lit(k / 100) for k in range(5, 100)] if grid is None else [F.lit(float(x)) for x in grid]
+    drawn = [F.percentile(score, F.lit(q)) for q in quantiles]
+    every = known.agg(F.array(*fixed, *drawn, *([F.lit(float("inf"))] if no_alarm else [])).alias("t"))
+    flags = known.crossJoin(F.broadcast(every.select(F.explode(F.array_distinct("t")).alias("threshold")).where("threshold is not null")))
     hit = F.col(score) >= F.col("threshold")
     per = flags.groupBy("threshold").agg(F.count_if(hit & (F.col(y) == 1)).alias("tp"), F.count_if(hit & (F.col(y) == 0)).alias("fp"), F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) == 0).alias("negatives"))
     per = per.withColumn("f1", _ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"))).withColumn("recall", _ratio(1.0 * F.col("tp"), F.col("positives")))

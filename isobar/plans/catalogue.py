@@ -480,7 +480,12 @@ def threshold_sweep_f1(t: Tables) -> DataFrame:
 
 @query("background_capped_threshold", f"with {LABELS}, gr as (select unnest([1000.0, 3000.0, 6000.0, 9000.0, 12000.0])::double as threshold), c as (select threshold, count(*) filter (score >= threshold and y = 1) as tp, count(*) filter (score >= threshold and y = 0) as fp, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from lab, gr where y is not null group by 1), d as (select threshold, fp, neg, case when tp + fp + pos > 0 then 2.0::double * tp / (tp + fp + pos) else 0 end as f1, case when pos > 0 then tp / pos::double else 0 end as recall from c) select threshold, round(f1, 6) as f1, round(recall, 6) as recall from d where fp <= 0.1 * neg order by d.f1 desc, d.recall desc, threshold limit 1")
 def background_capped_threshold(t: Tables) -> DataFrame:
-    return r6(evaluate.background_capped_threshold(t.labels(), [1000.0, 3000.0, 6000.0, 9000.0, 12000.0], cap=0.1), "f1", "recall")
+    return r6(evaluate.background_capped_threshold(t.labels(), [1000.0, 3000.0, 6000.0, 9000.0, 12000.0], cap=0.1, quantiles=(), no_alarm=False), "f1", "recall")  # the SQL's candidates
+
+
+@query("background_capped_threshold_full")
+def background_capped_threshold_full(t: Tables) -> DataFrame:
+    return r6(evaluate.background_capped_threshold(t.labels()), "threshold", "f1", "recall")
 
 
 @query("quantile_grid_objective", f"with {LABELS}, {KNOWN}, gr as (select unnest([0, 1, 2]) as i, unnest(quantile_cont(score, [0.5, 0.8, 0.95])) as threshold from kn), c as (select i, threshold, count(*) filter (score >= threshold and y = 1) as tp, count(*) filter (score >= threshold) as predicted, count(*) filter (y = 1) as positives from kn, gr group by 1, 2) select cast(i as int) as i, round(threshold, 6) as threshold, tp, predicted, positives, round(2.0::double * tp / (predicted + positives) * case when case when predicted > 0 then tp / predicted::double else 0 end < 0.35 then 0.5 else 1 end, 6) as objective from c")

@@ -225,3 +225,13 @@ def test_flagship_plan_has_one_exchange_before_thresholds(spark):
 
     d = detect.compute_signals(spark.createDataFrame([], "g string, us long, v double"), catalogue.SPEC)
     assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_capped_threshold_searches_between_grid_values_and_can_stay_silent(spark):
+    d = spark.createDataFrame([(float(i), int(i >= 770)) for i in range(1000)], "score double, y int")
+    best = evaluate.background_capped_threshold(d).first()
+    assert 763 < best.threshold <= 770 and best.f1 > 0.98
+    assert evaluate.background_capped_threshold(d, [100.0, 960.0]).first().threshold == 949.05  # a quantile
+    high = d.withColumn("y", (F.col("score") < 500).cast("int"))
+    silent = evaluate.background_capped_threshold(high, [0.0, 600.0], quantiles=()).first()
+    assert silent.threshold == float("inf") and silent.f1 == 0.0
