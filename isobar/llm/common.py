@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FEW_CLASSES = 16
 #: Parts a class is dealt to before its rows are ranked, so that no task orders a whole class.
 CLASS_PARTS = 64
+#: A group is hot if it has more than this share (one in so many) of all rows.
+HOT_SHARE = 400
 #: Entries a worker keeps in a word cache before it starts afresh; bounds its memory whatever the vocabulary.
 CACHE_WORDS = 400_000
 
@@ -45,7 +47,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared scratch folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{scratch_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again, and lets Spark's cleaner remove the shuffle files of
+    finished steps: it does so when the driver's collector finds them unused."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +91,14 @@ def bounded_ids(candidates: DataFrame, per_class: int, label: str) -> list[tuple
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered for up to CACHE_WORDS words."""
 
+    _kept: "WordHash | None" = None
+
+    @classmethod
+    def of_process(cls) -> "WordHash":
+        """The memory of this Python worker, which serves many tasks."""
+        cls._kept = cls._kept if cls._kept is not None else cls()
+        return cls._kept
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
@@ -129,8 +150,10 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         large = both.join(lowest(both).withColumn("m", F.least("a", "m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, f"{tag}-large")
         small = large.join(lowest(large), "a")
-        now = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
-        now = materialize(now, f"{tag}-small")
+        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+        small = materialize(small, f"{tag}-small")
+        release(now, large)
+        now = small
         ends = now.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break  # every id has one link, and that to an id without one
@@ -138,19 +161,32 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, out: str, chunk: int = 500_000) -> DataFrame:
-    """Adds a rank from 0 without gaps inside each key; a key of any size is dealt to many tasks.
+def gapless_rank(df: DataFrame, key: str, counts: dict[int, int], order: list[str], out: str, chunk: int = 500_000) -> DataFrame:
+    """Adds a rank from 0 without gaps inside each value of a whole-number key; a value of any share is dealt to many tasks.
 
-    Rows are dealt to ceil(rows / chunk) buckets by hash, numbered inside (key, bucket), and shifted by the rows of the
-    key's earlier buckets. The ranks follow (bucket, order).
+    counts: the rows of each value, all of them. A value's rows are dealt to buckets by hash, each of at most `chunk` rows and
+    a HOT_SHARE-th of all, numbered inside (key, bucket) and shifted by the value's earlier buckets. Ranks follow (bucket, order).
     """
-    buckets = max(1, -(-rows // chunk))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - F.lit(1)
+    spark, total = df.sparkSession, sum(counts.values())
+    most = max(1, min(chunk, total // HOT_SHARE))
+    deal = spark.createDataFrame([(int(k), -(-n // most)) for k, n in sorted(counts.items())], "_key long, _buckets long")
+    spread = F.pmod(F.xxhash64(F.lit(29), *order), F.col("_buckets"))
+    df = df.join(F.broadcast(deal), df[key].cast("long") == deal["_key"]).withColumn("_bucket", spread).drop("_key", "_buckets")
+    sizes = df.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - F.lit(1)
     numbered = df.withColumn("_inner", inner.cast("long"))
-    if buckets == 1:
-        return numbered.withColumn(out, F.col("_inner")).drop("_bucket", "_inner")
-    on = [*keys, "_bucket"]
-    return numbered.join(shifts, on).withColumn(out, F.col("_inner") + F.col("_shift")).drop("_bucket", "_inner", "_shift")
+    return numbered.join(shifts, [key, "_bucket"]).withColumn(out, F.col("_inner") + F.col("_shift")).drop("_bucket", "_inner", "_shift")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """rows joined to the one row of their group; `copies` says how many rows a group has, `total` how many there are.
+
+    Groups of more than a HOT_SHARE-th of all rows, of which there are fewer than HOT_SHARE, are broadcast, so that no group
+    lands in one task; all others meet by key.
+    """
+    is_hot = F.col(copies) > F.lit(total // HOT_SHARE)
+    hot = F.broadcast(groups.where(is_hot))
+    cold = rows.join(F.broadcast(groups.where(is_hot).select(*keys)), keys, "left_anti").join(groups.where(~is_hot), keys)
+    return rows.join(hot, keys).unionByName(cold)

@@ -132,7 +132,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         rows = materialize(_descend(rows, moves), "shard-level")  # else the plan would double with each level
     leaf = {n: first[n] for n in shares}
     placed = materialize(rows.select("doc_id", "size", "text_crc32", _by_node(leaf).cast("int").alias("shard")), "shard-placed")
-    out = gapless_rank(placed, ["shard"], ["doc_id", "size", "text_crc32"], count, "slot")
+    counts = {r[0]: r[1] for r in placed.groupBy("shard").count().collect()}
+    out = gapless_rank(placed, "shard", counts, ["doc_id", "size", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -7,9 +7,10 @@ ones. Pieces then find their place by rank: the r-th piece of a length belongs t
 The slot table has at most a few slots per (pattern, distinct length); its size is checked against MAX_SLOTS and it is
 joined instead of shipped when it is larger.
 
-Tokenising is remembered per unit (the runs of letters, digits and signs that the tokenizer itself cuts a text into before
-it looks for tokens), so a word is looked up, not merged again. Words with characters outside a plain set are given to the
-tokenizer as they are; no token of it spans white space, so the ids are its own.
+Tokenising is remembered per word for as long as the Python worker lives: a word is looked up, not merged again. New words
+are cut into units (the runs of letters, digits and signs that the tokenizer itself cuts a text into) and merged together by
+the vocabulary's own merges; words with characters outside a plain set are given to the tokenizer as they are. No token
+spans white space, so the ids are its own.
 
 Null and empty texts are one piece with the separator only. Equal rows are packed each. Extra columns are ignored; an empty
 table gives an empty result.
@@ -17,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -31,78 +33,109 @@ from isobar.llm.common import gapless_rank, materialize, read_table
 MAX_TOKENS = 4096
 SEPARATOR_ID = 2
 MAX_SLOTS = 2_000_000
-#: Units remembered per worker (about 150 bytes each).
-CACHE_UNITS = 1_500_000
+#: Words remembered per worker process (about 200 bytes each) before it starts afresh, and texts encoded at a time.
+CACHE_WORDS = 600_000
+STEP_TEXTS = 200
 
 
 #: Characters whose reading by the tokenizer is plain: letters, digits and signs that its normaliser only lower-cases.
-_LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff\u0153"
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
 _ODD = re.compile(f"[^\\x20-\\x7e\\t\\n\\r{_LETTERS}\u00c0-\u00d6\u00d8-\u00de\u0152\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u20ac\u00ab\u00bb\u00a1\u00bf]|<\\|")
 _UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
 
-class Ids(dict):
-    """unit (a run of letters, a digit, a run of signs) -> its ids as little-endian unsigned 32-bit bytes."""
+def _raw_bytes() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Ids:
+    """The ids of texts, remembered by word (a run without white space) as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole, self.units = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.units.normalizer = None
-        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.whole.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a unit
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def learn(self, units: list[str]) -> None:
-        groups = [units[i : i + 64] for i in range(0, len(units), 64)]
-        for group, found in zip(groups, self.units.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(found.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            data, start = ids.tobytes(), 0
-            for unit, end in zip(group, ends, strict=True):
-                self[unit] = data[start:end]
-                start = end
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.known: dict[str, bytes] = {}  # a plain dict: sets subtract it quickly
+        self.whole = Tokenizer.from_file(path)
+        # the same merges in the same order for many words at a time: a NUL stands for a unit's end, and joins first
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, raw, end = model["vocab"], _raw_bytes(), model["end_of_word_suffix"]
+        as_bytes = lambda token: bytes(raw[c] for c in token.removesuffix(end)) + b"\0" * token.endswith(end)
+        order = {bytes([b]): vocabulary[c] for c, b in raw.items()} | {bytes([b, 0]): vocabulary[c + end] for c, b in raw.items()}
+        for merge in model["merges"]:
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            order.setdefault(as_bytes(left + right), vocabulary[left + right])
+        self.numbers = np.array(list(order.values()), "<u4")
+        self.line = list(order).index(b"\n")
+        self.merger = tiktoken.Encoding("words", pat_str="[^\0\n]+\0|\n", mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if not (w.isascii() and w.isprintable() and "<|" not in w) and _ODD.search(w)]
+        for word, found in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+        plain = words if not odd else list(set(words).difference(odd))
+        if plain:
+            marked = _UNIT.sub("\\g<0>\0", "\n".join(plain).lower())
+            ranks = np.array(self.merger.encode_ordinary(marked + "\n"), np.int64)
+            ends = np.flatnonzero(ranks == self.line).tolist()
+            data, start = self.numbers[ranks].tobytes(), 0
+            for word, stop in zip(plain, ends, strict=True):
+                self.known[word] = data[4 * start : 4 * stop]
+                start = stop + 1
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not flat.isprintable():  # a space of another kind, perhaps
+            return [w for w in flat.split(" ") if w]
+        return (flat.lower() if flat.isascii() and "<|" not in flat else flat).split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The tokenizer's ids of each text."""
+        words = [self.words(t) for t in texts]
+        new = set().union(*words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            if len(texts) > 1:
+                middle = len(texts) // 2
+                return self.encode_all(texts[:middle]) + self.encode_all(texts[middle:])
+            self.known.clear()
+            if len(words[0]) > CACHE_WORDS // 2:
+                return [b"".join([self.encode_all([" ".join(words[0][i : i + CACHE_WORDS // 2])])[0] for i in range(0, len(words[0]), CACHE_WORDS // 2)])]
+            new = set(words[0])
+        self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
     def encode(self, text: str) -> bytes:
-        """The tokenizer's ids of a text."""
-        if not _ODD.search(text):
-            return self._plain(text.lower())
-        parts = []  # no token spans white space: only the words with other characters take the long way
-        for word in re.split("[ \t\n\r]+", text):
-            if _ODD.search(word):
-                parts.append(np.asarray(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                parts.append(self._plain(word.lower()))
-        return b"".join(parts)
-
-    def _plain(self, text: str) -> bytes:
-        units = _UNIT.findall(text)
-        try:
-            return b"".join(map(self.__getitem__, units))
-        except KeyError:
-            pass
-        if len(units) > CACHE_UNITS // 2:
-            middle = len(units) // 2
-            return self._plain(" ".join(units[:middle])) + self._plain(" ".join(units[middle:]))
-        new = [u for u in set(units) if u not in self]
-        if len(self) + len(new) > CACHE_UNITS:
-            self.clear()
-            new = list(set(units))
-        self.learn(new)
-        return b"".join(map(self.__getitem__, units))
+        return self.encode_all([text])[0]
+
+
+_KEPT: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This process's tokenizer and memory: a Python worker serves many tasks and keeps what earlier ones learned."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Ids(path)
+    return _KEPT[path]
 
 
 def _pieces(path: str, max_tokens: int, separator: int):
     def run(batches):
-        ids, end = Ids(path), np.asarray([separator], "<u4").tobytes()
+        ids, end = ids_of(path), np.asarray([separator], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = ids.encode(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            encoded = (x for i in range(0, len(texts), STEP_TEXTS) for x in ids.encode_all(texts[i : i + STEP_TEXTS]))
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoded):
+                found += end
                 total = len(found) // 4
                 for start in range(0, total, max_tokens):
                     part = found[4 * start : 4 * (start + max_tokens)]
@@ -182,7 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, sep
     pieces = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer_path, max_tokens, separator), shape), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     table = slots(pack_histogram(counts, max_tokens))
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "start", "ids_crc32"], sum(counts.values()), "rank")
+    ranked = gapless_rank(pieces, "length", counts, ["doc_id", "start", "ids_crc32"], "rank")
     if len(table) <= MAX_SLOTS:
         return ranked.mapInPandas(_place(table), f"{shape}, sequence_id long, offset long")
     spread = docs.sparkSession.createDataFrame(table)
