@@ -1,22 +1,26 @@
 """Language identification with a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are labelled with languages. A run of more than LETTERS letters (a clause, in scripts
+Words (runs of letters by Unicode class, lower-cased) are labelled with languages. A run of more than LETTERS letters (a clause, in scripts
 without spaces) is read whole, as pieces that overlap by two letters, each a word of its own. A word's features are its affixes, its character n-grams
 and itself if the lexicon of the training words holds it; label-to-label transitions are learned with them by maximising the
 conditional likelihood with forward-backward. Documents carry one language each, so training chains are spliced from spans
 of several documents: the transitions then learn how code-switched text changes language. A document's answer is the
 label with the largest mean posterior over all its words, its score that mean.
 
-Chains are runs of CHAIN words; all chains of a batch go through forward-backward together, one step of small matrix products
-per word position. A word's label scores are remembered, so features are built once per word and worker.
+A document is one chain, whatever its length. It is worked on in pieces of PIECE words, all pieces of a batch together, one
+step of small matrix products per word position: first each piece's transfer from its left to its right border, then, piece
+after piece, what reaches the borders from both ends of the document, then the posteriors inside. With many labels, where a
+transfer costs more than it saves, documents go through from end to end. A word's label scores are remembered, so
+features are built once per word and worker. Each word has the label of its largest posterior; their counts are returned.
 
-The training sample is bounded: TRAIN_DOCS documents of each language (those with the smallest hash of doc_id), SPANS spans of
-each; all languages are learned, however many, and batches and memories shrink as their number grows. Null or letterless texts give `und` with score 0. A null doc_id has a null held_out. Repeated rows are labelled
+The training sample is bounded: TRAIN_DOCS documents of each language (those with the smallest hash of doc_id; at most twice as
+many rows where ids repeat), SPANS spans of each; all languages are learned, however many, and batches and memories shrink as their number grows. Null or letterless texts give `und` with score 0. A null doc_id has a null held_out. Repeated rows are labelled
 each. Extra columns are ignored. With no labelled row every text is `und`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -28,7 +32,8 @@ from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, read_table
 
 TRAIN_DOCS = 150
 SPANS = 24
-CHAIN = 64
+#: Words of a piece of a chain, and labels up to which pieces are worked on side by side.
+PIECE, SIDE_BY_SIDE = 64, 24
 FEATURES = 2**16
 #: Labels up to which batches have their full size.
 WIDE = 16
@@ -40,11 +45,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words_of(text: str | None) -> list[str]:
     """The words of a text; pieces of a long run share two letters, so that each of its trigrams is in just one."""
     words = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):  # fractions, superscripts and the like are no letters
+        words = [w for x in words for w in (_letters(x) if not x.isalpha() else (x,))]
     if words and max(map(len, words)) > LETTERS:
         words = [w[i : i + LETTERS] for w in words for i in range(0, max(1, len(w) - 2), LETTERS - 2)]
     return words
 
 
+def _letters(run: str) -> list[str]:
+    return "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """(n, WIDTH) hashed features of each word of at most LETTERS letters: bigrams and trigrams of <word>, affixes of 1 to 3, itself if known; FEATURES pads."""
     n = len(words)
@@ -99,13 +110,93 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, fi
     return post, expected, log_z
 
 
+def _advance(now: np.ndarray, e: np.ndarray, live: np.ndarray, a: np.ndarray, inits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """One forward step of (N, K) weights, scaled to sum 1, and their scale; inits marks chains whose first word this is."""
+    step = now @ a
+    if inits is not None:
+        step = np.where(inits, now, step)
+    step *= e
+    total = np.maximum(step.sum(axis=1), 1e-300)
+    return np.where(live, step / total[:, None], now), np.where(live[:, 0], np.log(total), 0.0)
+
+
+def chain_posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Label posteriors (n, K) of the words of many chains laid end to end; scores (n, K), lengths (chains)."""
+    k = scores.shape[1]
+    width = PIECE if k <= SIDE_BY_SIDE else max(1, int(lengths.max(initial=1)))
+    pieces = -(-lengths // width)
+    count = int(pieces.sum())
+    out = np.zeros((len(scores), k))
+    if not count:
+        return out
+    begin = np.concatenate([[0], np.cumsum(pieces)])[:-1]
+    chain = np.repeat(np.arange(len(lengths)), pieces)
+    number = np.arange(count) - begin[chain]
+    inside = np.arange(width)[:, None] < np.minimum(lengths[chain] - number * width, width)[None, :]
+    at = (np.concatenate([[0], np.cumsum(lengths)])[:-1][chain] + number * width)[None, :] + np.arange(width)[:, None]
+    at = np.where(inside, at, 0)
+    e = scores[at].astype(np.float64)
+    e = np.exp(e - e.max(axis=2, keepdims=True))
+    a, starts = np.exp(trans - trans.max()), (number == 0)[:, None]
+    left = np.tile(np.exp(first - first.max()) / np.exp(first - first.max()).sum(), (count, 1))
+    right = np.ones((count, k))
+    if pieces.max() > 1:
+        many = np.flatnonzero((pieces > 1)[chain])
+        # the transfer of a piece: what a weight on each label at its left border becomes at its right border
+        flow, scale = np.tile(np.eye(k), (len(many), 1)), np.zeros(len(many) * k)
+        for t in range(width):
+            live = np.repeat(inside[t, many], k)[:, None]
+            flow, more = _advance(flow, np.repeat(e[t, many], k, axis=0), live, a, np.repeat(starts[many], k, axis=0) if t == 0 else None)
+            scale += more
+        flow, scale = flow.reshape(-1, k, k), scale.reshape(-1, k)
+        place = np.full(count, -1)
+        place[many] = np.arange(len(many))
+        deepest = int(pieces.max())
+        for c in range(1, deepest):
+            here = np.flatnonzero(number == c)
+            before = place[here - 1]
+            w = np.log(np.maximum(left[here - 1], 1e-300)) + scale[before]
+            w = np.exp(w - w.max(axis=1, keepdims=True))
+            v = (w[:, None, :] @ flow[before])[:, 0]
+            left[here] = v / v.sum(axis=1, keepdims=True)
+        for c in range(deepest - 1, 0, -1):
+            here = np.flatnonzero(number == c)
+            own = place[here]
+            v = (flow[own] @ right[here][:, :, None])[:, :, 0]
+            w = np.log(np.maximum(v, 1e-300)) + scale[own]
+            w = np.exp(w - w.max(axis=1, keepdims=True))
+            right[here - 1] = w / w.sum(axis=1, keepdims=True)
+    alpha = np.empty_like(e)
+    now = left
+    for t in range(width):
+        now, _ = _advance(now, e[t], inside[t][:, None], a, starts if t == 0 else None)
+        alpha[t] = now
+    beta = right
+    for t in range(width - 1, -1, -1):
+        post = alpha[t] * beta
+        here = inside[t]
+        out[at[t, here]] = post[here] / np.maximum(post[here].sum(axis=1, keepdims=True), 1e-300)
+        if t:
+            back = (e[t] * beta) @ a.T
+            back /= np.maximum(back.sum(axis=1, keepdims=True), 1e-300)
+            beta = np.where(here[:, None], back, beta)
+    return out
+
+
 class Crf:
     def __init__(self, labels: list[str], lexicon: list[str]):
         self.labels = labels
         self.lexicon = {w: FEATURES + 1 + i for i, w in enumerate(lexicon)}
         k = len(labels)
+        self._name: bytes | None = None
         self.weights, self.trans, self.first = np.zeros((FEATURES + 1 + len(lexicon), k), np.float32), np.zeros((k, k)), np.zeros(k)
 
+    def name(self) -> bytes:
+        """Tells models apart."""
+        if self._name is None:
+            self._name = hashlib.sha256(b"".join([repr(self.labels).encode(), self.weights.tobytes(), self.trans.tobytes(), self.first.tobytes()])).digest()
+        return self._name
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Label scores of each word."""
         parts = [self.weights[word_features(words[i : i + 4096], self.lexicon)].sum(axis=1) for i in range(0, len(words), 4096)]
@@ -157,9 +248,17 @@ class Labeller:
     def __init__(self, model: Crf):
         self.model, self.known = model, {}
         self.room = max(4096, min(CACHE_WORDS, 2**24 // max(1, len(model.labels))))
-        self.chains = max(16, 2048 * WIDE // max(WIDE, len(model.labels)))
         self.table = np.zeros((self.room, len(model.labels)), np.float32)
 
+    _kept: "tuple[bytes, Labeller] | None" = None
+
+    @classmethod
+    def of_process(cls, model: Crf) -> "Labeller":
+        """The labeller of a model in this Python worker, which serves many tasks."""
+        if cls._kept is None or cls._kept[0] != model.name():
+            cls._kept = (model.name(), cls(model))
+        return cls._kept[1]
+
     def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list(set().union(*texts).difference(self.known))
         if len(self.known) + len(new) > self.room:
@@ -176,40 +275,31 @@ class Labeller:
         self.known.update(zip(new, range(at, at + len(new))))
         return [self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))] for words in texts]
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language and its mean posterior for each text."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[int]]]:
+        """The language, its mean posterior and the words of each language, for each text."""
         k = len(self.model.labels)
+        nothing = ("und", 0.0, [0] * k)
         if not k or not texts:
-            return [("und", 0.0)] * len(texts)
+            return [nothing] * len(texts)
         emissions = self.scores([words_of(t) for t in texts])
         lengths = np.array([len(e) for e in emissions])
-        chains = -(-lengths // CHAIN)
-        owner = np.repeat(np.arange(len(texts)), chains)
-        if not len(owner):
-            return [("und", 0.0)] * len(texts)
-        scores = np.zeros((len(owner) * CHAIN, k), np.float32)
-        mask = np.zeros(len(owner) * CHAIN, bool)
-        at = np.concatenate([[0], np.cumsum(chains)]) * CHAIN
-        for i, e in enumerate(emissions):
-            scores[at[i] : at[i] + len(e)] = e
-            mask[at[i] : at[i] + len(e)] = True
-        total = np.zeros((len(texts), k))
-        for b in range(0, len(owner), self.chains):
-            rows = slice(b * CHAIN, (b + self.chains) * CHAIN)
-            s, m = scores[rows].reshape(-1, CHAIN, k).transpose(1, 0, 2), mask[rows].reshape(-1, CHAIN).T
-            post, _, _ = forward_backward(s, m, self.model.trans, self.model.first)
-            np.add.at(total, owner[b : b + self.chains], (post * m[:, :, None]).sum(axis=0))
-        out = []
-        for n, t in zip(lengths, total):
-            best = int(t.argmax())
-            out.append((self.model.labels[best], float(min(1.0, t[best] / n))) if n else ("und", 0.0))
+        post = chain_posteriors(np.concatenate(emissions), lengths, self.model.trans, self.model.first)
+        owner, filled = np.repeat(np.arange(len(texts)), lengths), np.flatnonzero(lengths)
+        words = np.bincount(owner * k + post.argmax(axis=1), minlength=len(texts) * k).reshape(-1, k) if len(post) else np.zeros((len(texts), k), int)
+        out = [nothing] * len(texts)
+        if len(filled):
+            means = np.add.reduceat(post, np.concatenate([[0], np.cumsum(lengths[filled])])[:-1], axis=0) / lengths[filled][:, None]
+            for i, mean in zip(filled.tolist(), means):
+                best = int(mean.argmax())
+                out[i] = (self.model.labels[best], float(min(1.0, mean[best])), words[i].tolist())
         return out
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 11) -> Crf:
     """Fits the field on a bounded sample of docs (doc_id, text, lang) with a language."""
     chosen = bounded_ids(docs.where("lang is not null and doc_id is not null").select("doc_id", "lang"), per_language, "lang")
-    rows = docs.where(F.col("doc_id").isin([i for i, _ in chosen])).where("lang is not null").select("doc_id", "text", "lang").collect() if chosen else []
+    rows = docs.where(F.col("doc_id").isin([i for i, _ in chosen])).where("lang is not null").select("doc_id", "text", "lang")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(2 * len(chosen)).collect() if chosen else []
     by_label: dict[str, list[list[str]]] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"] or "")):
         words = words_of(r["text"])
@@ -242,22 +332,37 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 11) -> Cr
     return model.fit(chains) if chains else model
 
 
-def _predict(model: Crf):
+_FOUND = "lang_pred string, score double, words array<struct<lang: string, words: long>>"
+
+
+def _predict(model: Crf, keep: bool, least: float):
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
+
     def run(batches):
-        labeller = Labeller(model)
+        labeller = Labeller.of_process(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             step = max(1, 256 * WIDE // max(WIDE, len(model.labels)))
             found = [x for i in range(0, len(texts), step) for x in labeller.label(texts[i : i + step])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            if keep:
+                yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
+                continue
+            words = [[{"lang": lang, "words": n} for lang, n in zip(model.labels, x[2]) if n] for x in found]
+            made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(words, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", "lang_pred", "score", "words"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, lang_pred, score."""
+    """docs (doc_id, text) -> doc_id, held_out, lang_pred, score, words (how many words each language has)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model, False, 0.0), f"doc_id long, held_out boolean, {_FOUND}")
+
+
+def recognised(docs: DataFrame, model: Crf, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language has at least this score; rows are judged one by one and nothing is shuffled."""
+    return docs.mapInArrow(_predict(model, True, least), docs.schema)
 
 
 def learn_folds(docs: DataFrame) -> Crf:
