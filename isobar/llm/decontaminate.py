@@ -1,13 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-For a benchmark item of w words, every window of w words of a document has a BITS-bit SimHash over its 5-word shingles
-(weights: how often a shingle occurs in the window). A fingerprint is looked up in a multi-index: BITS/8 blocks, each with a
-table of the items whose block lies within floor(RADIUS / blocks) bits; by the pigeonhole principle no item within RADIUS
-is missed. Items found are then held to the distance itself, and those that remain to the exact weighted-shingle similarity
-sum(min) / sum(max) of the window's and the item's shingle counts, at least 75 percent.
+For a benchmark item of w words, every window of w words of a document has a BITS-bit SimHash over its 5-word shingles. The
+n-th occurrence of a shingle in a window is an element of its own, so that the weighted similarity sum(min) / sum(max) of
+two windows is the plain one of two sets of elements, however often a shingle repeats. A fingerprint is looked up in a
+multi-index: BITS/8 blocks, each with a table of the items whose block lies within floor(RADIUS / blocks) bits; by the
+pigeonhole principle no item within RADIUS is missed. Items found are then held to the distance itself, and those that
+remain to the exact weighted-shingle similarity of the window and the item, at least 75 percent.
 
 Only windows that hold a shingle of some item are fingerprinted: all other windows have similarity 0. RADIUS is 4.5 standard
-deviations over the expected distance at similarity 0.75.
+deviations over the expected distance at similarity 0.75: of windows at exactly that similarity some 3 in a million lie
+farther, of more similar ones fewer.
 
 The benchmark is a stated query set. It is read in blocks of at most ITEM_BLOCK items, each block shipped to the tasks and
 held against all documents; more items mean more passes, not a larger shipment.
@@ -19,6 +21,7 @@ Extra columns are ignored; with no documents or no items the result is empty.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +32,44 @@ from isobar.llm.common import WordHash, mix64, read_table, shingle_hashes, word_
 
 BITS = 128
 RADIUS = 42
-ITEM_BLOCK = 2_000
+ITEM_BLOCK = 10_000
 _SEEDS = np.array([0x51, 0xA7], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def shingle_bits(shingles: np.ndarray) -> np.ndarray:
-    """(n, BITS) of -1 and 1: the shingles' own random signs."""
-    words = np.stack([mix64(shingles + s) for s in _SEEDS], axis=1)
+def shingle_bits(shingles: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """(n, BITS) of -1 and 1: the random signs of the turn-th occurrences of shingles, turns from 0."""
+    own = shingles + turns.astype(np.uint64) * _TURN
+    words = np.stack([mix64(own + s) for s in _SEEDS], axis=1)
     bits = np.unpackbits(words.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
     return bits.astype(np.int8) * 2 - 1
 
 
-def simhashes(signs: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints (bytes) of all runs of `width` shingles."""
-    total = np.zeros((len(signs) + 1, BITS), np.int32)
-    np.cumsum(signs, axis=0, out=total[1:])
-    return np.packbits(total[width:] - total[:-width] > 0, axis=1)
+def simhashes(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints (bytes) of all runs of `width` shingles.
+
+    A run that moves on by one loses the last occurrence of the shingle that leaves and gains the next one of that which enters.
+    """
+    n = len(shingles)
+    _, kind = np.unique(shingles, return_inverse=True)
+    if kind.max(initial=0) == n - 1:  # no shingle repeats
+        enters = leaves = shingle_bits(shingles, np.zeros(n, np.int64))
+    else:
+        place = np.sort(kind * n + np.arange(n))  # by shingle, then position
+        order = place % n
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        start = np.searchsorted(place, kind * n + np.maximum(np.arange(n) - width + 1, 0))
+        end = np.searchsorted(place, kind * n + np.minimum(np.arange(n) + width, n))
+        enters = shingle_bits(shingles, rank - start)  # occurrences in the window that ends here, before this one
+        leaves = shingle_bits(shingles, end - rank - 1)  # occurrences in the window that starts here, after this one
+    total = np.zeros((n - width + 1, BITS), np.int32)
+    total[0] = enters[:width].sum(axis=0, dtype=np.int32)
+    if n > width:
+        np.cumsum(enters[width:].astype(np.int32) - leaves[: n - width], axis=0, out=total[1:])
+        total[1:] += total[0]
+    return np.packbits(total > 0, axis=1)
 
 
 class Items:
@@ -53,7 +77,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]], k: int):
         cache = WordHash()
-        self.ids, self.sizes, self.shingles, self.counts, prints = [], [], [], [], []
+        self.ids, self.sizes, self.shingles, prints = [], [], [], []
         for item, text in rows:
             words = word_hashes(text or b"", cache)
             s = shingle_hashes(words, k)
@@ -61,8 +85,7 @@ class Items:
                 self.ids.append(item)
                 self.sizes.append(len(words))
                 self.shingles.append(s)
-                self.counts.append(Counter(s.tolist()))
-                prints.append(simhashes(shingle_bits(s), len(s))[0])
+                prints.append(simhashes(s, len(s))[0])
         self.prints = np.array(prints, np.uint8).reshape(-1, BITS // 8)
         every = np.concatenate(self.shingles) if self.shingles else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles])
@@ -74,6 +97,9 @@ class Items:
         # index[b, value] = packed set of the items whose block b is near value
         self.index = np.stack([np.packbits(near[:, self.prints[:, b]], axis=1) for b in range(BITS // 8)])
 
+    def counts(self, item: int) -> Counter:
+        return Counter(self.shingles[item].tolist())
+
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Positions whose shingle belongs to an item."""
         at = np.flatnonzero(self.sieve[(shingles >> np.uint64(42)).astype(np.int64)])
@@ -107,6 +133,7 @@ def match(shingles: np.ndarray, n_words: int, items: Items, percent: int, k: int
     """(item, similarity, first word) of the best window of a text for each item that reaches the threshold."""
     at = items.hits(shingles)
     best: dict[int, tuple[float, int]] = {}
+    goals: dict[int, Counter] = {}
     if not len(at):
         return []
     widths = {}
@@ -119,13 +146,15 @@ def match(shingles: np.ndarray, n_words: int, items: Items, percent: int, k: int
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             for head in range(0, len(run), 4096):
                 a, b = int(run[head]), int(run[min(head + 4096, len(run)) - 1])
-                prints = simhashes(shingle_bits(shingles[a : b + width]), width)
+                prints = simhashes(shingles[a : b + width], width)
                 found = sorted(items.within(prints), key=lambda x: (x[2], x[0]))
                 for row, item, _ in found:
                     if min(items.sizes[item], n_words) != words:
                         continue
+                    if item not in goals:
+                        goals[item] = items.counts(item)
                     window = Counter(shingles[a + row : a + row + width].tolist())
-                    value = similarity_at_least(window, items.counts[item], percent)
+                    value = similarity_at_least(window, goals[item], percent)
                     if value is not None and (item not in best or (-value, a + row) < (-best[item][0], best[item][1])):
                         best[item] = (value, a + row)
     return [(items.ids[i], v, s) for i, (v, s) in sorted(best.items())]
@@ -133,7 +162,7 @@ def match(shingles: np.ndarray, n_words: int, items: Items, percent: int, k: int
 
 def _matches(items: Items, percent: int, k: int):
     def run(batches):
-        cache = WordHash()
+        cache = WordHash.of_process()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -146,18 +175,41 @@ def _matches(items: Items, percent: int, k: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """One row per (document, item) with a window at least `percent` similar: doc_id, item_id, similarity, first_word."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _blocks(benchmark: DataFrame, item_block: int, k: int):
+    """The benchmark's items in blocks of bounded size."""
     queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
     blocks = max(1, -(-queries.count() // item_block))
-    shape = "doc_id long, item_id long, similarity double, first_word long"
-    out = None
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        found = docs.mapInArrow(_matches(Items([(r[0], bytes(r[1])) for r in rows], k), percent, k), shape)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Items([(r[0], bytes(r[1])) for r in rows], k)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """One row per (document, item) with a window at least `percent` similar: doc_id, item_id, similarity, first_word."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shape = "doc_id long, item_id long, similarity double, first_word long"
+    parts = [docs.mapInArrow(_matches(items, percent, k), shape) for items in _blocks(benchmark, item_block, k)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _clean(items: Items, percent: int, k: int):
+    def run(batches):
+        cache = WordHash.of_process()
+        for batch in batches:
+            keep = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = word_hashes(text or b"", cache)
+                keep.append(not len(words) or not match(shingle_hashes(words, k), len(words), items, percent, k))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """The rows of docs, all columns, without a window that matches an item; rows are judged one by one and nothing is shuffled."""
+    for items in _blocks(benchmark, item_block, k):
+        docs = docs.mapInArrow(_clean(items, percent, k), docs.schema)
+    return docs
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
