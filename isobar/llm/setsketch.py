@@ -7,32 +7,39 @@ joint likelihood of the counts of larger, smaller and equal registers, given bot
 candidate pair; links are then confirmed on the full sets.
 
 How large groups are kept linear: equal sets are one representative; in each band bucket every member is first tried with
-smallest id that it shares a band with (a star), which joins a group of near copies by as many pairs as it has members.
-Only then members that are still in different components are compared, in blocks of BLOCK members of a bucket dealt to many
-tasks: first each member's most likely partner of a block is confirmed, then, between the components still apart, every pair
-whose likelihood estimate can reach the threshold; these are first held against each other under cut hashes where the block
-is, which loses no link, so little more than links leaves the task to be confirmed on full sets. No bucket is capped: every pair that shares a band is either already
-connected or compared. A pair of similarity s shares no band with probability (1 - s^R)^(M/R):
-1.5e-6 at 0.75 with 50 bands of 5.
+the smallest id that it shares a band with (a star), which joins a group of near copies by as many pairs as it has members.
+Only then members that are still in different components are compared. In a bucket the members of its largest component meet
+the others only, not each other, and the others meet among themselves, in blocks of BLOCK members dealt to many tasks: first
+each member's most likely partner of a block is confirmed, then, between the components still apart, every pair whose
+likelihood estimate can reach the threshold; these are first held against each other under cut hashes where the block is,
+which loses no link, so little more than links leaves the task to be confirmed on full sets. No bucket is capped: every pair
+that shares a band is either already connected or compared. A pair of similarity s shares no band with probability
+(1 - s^R)^(M/R): 1.5e-6 at 0.75 with 50 bands of 5.
+
+Tables written on the way are deleted as soon as nothing reads them any more.
 
 Empty or null texts have an empty set: they are linked with nothing. A row with a null doc_id gets its set size and a null
-component. Repeated rows of one doc_id get the same component. Extra columns are ignored; an empty table gives no rows.
+component, and links nothing. Repeated rows of one doc_id are one document: they get the same component, and link what any of
+their texts links. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import WordHash, connected_components, materialize, mix64, read_table, shingle_hashes, word_hashes
+from isobar.llm.common import WordHash, connected_components, join_groups, materialize, mix64, read_table, release, shingle_hashes, word_hashes
 
 M, R = 250, 5
 A, B, Q = 20.0, 1.001, 2**16 - 2
-BLOCK = 1024
+BLOCK = 4096
+#: Partners of a document that are confirmed in one task.
+FAN = 256
 #: Sets of up to so many shingles are compared under 16 bits a shingle first, larger ones under 32.
 NARROW = 4096
 _rng = np.random.default_rng(20_240_501)
@@ -79,7 +86,7 @@ def _texts(batch: pa.RecordBatch):
 
 def _sketch(k: int):
     def run(batches):
-        cache = WordHash()
+        cache = WordHash.of_process()
         for batch in batches:
             sizes, prints, regs = [], [], []
             for text in _texts(batch):
@@ -87,32 +94,33 @@ def _sketch(k: int):
                 sizes.append(len(items))
                 prints.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 regs.append(registers(items).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "print", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "print", "regs"])
 
     return run
 
 
-def _bands(batches):
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    """(rows, M) registers -> (rows, M / R) keys of the bands; a band's number is part of its key."""
     weights = np.random.default_rng(7).integers(0, 2**63, R, dtype=np.uint64) | np.uint64(1)
     count = M // R
+    parts = regs.reshape(len(regs), count, R).astype(np.uint64)
+    return mix64((parts * weights).sum(axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * weights[0]).view(np.int64)
+
+
+def _bands(batches):
     for batch in batches:
         rows = batch.num_rows
-        if not rows:
-            continue
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(rows, count, R).astype(np.uint64)
-        keys = mix64((regs * weights).sum(axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * weights[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(count, dtype=np.int32), rows)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))],
-            names=["band", "number", "id", "n"],
-        )
+        if rows:
+            keys = _band_keys(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(rows, M))
+            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), M // R))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), repeat("id"), repeat("n")], names=["band", "id", "n"])
 
 
-def _sets(k: int, short: bool = False):
+def _shorts(k: int):
     def run(batches):
-        cache = WordHash()
+        cache = WordHash.of_process()
         for batch in batches:
-            sets = (shingle_set(t, cache, k) for t in _texts(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_short(x) if short else x.tobytes() for x in sets], pa.binary())], names=["id", "short" if short else "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_short(shingle_set(t, cache, k)) for t in _texts(batch)], pa.binary())], names=["id", "short"])
 
     return run
 
@@ -129,13 +137,20 @@ def _likely(slack: float, percent: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(frames):
-        for f in frames:
-            keep = []
-            for x, y in zip(f.a_items, f.b_items):
-                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
-            yield f.loc[keep, ["a", "b"]]
+def _confirm(percent: int, k: int):
+    """Rows sorted by (a, salt), the text of a first, then those of its partners b -> pairs whose full sets reach the threshold."""
+
+    def run(batches):
+        cache, now, head = WordHash.of_process(), None, None
+        for batch in batches:
+            kept: list[tuple[int, int]] = []
+            for a, salt, b, text in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), _texts(batch)):
+                items = shingle_set(text, cache, k)
+                if b is None:
+                    now, head = (a, salt), items
+                elif now == (a, salt) and _similar(head, items, percent):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -161,7 +176,7 @@ def _numbered(short: bytes, n: int, narrow: bool) -> np.ndarray:
 
 
 def _block_pairs(slack: float, percent: int, best: bool):
-    """Rows sorted by (band, low, high), a pair of blocks of a bucket each, into pairs of ids.
+    """Rows sorted by (band, among, low, high), a pair of blocks of a bucket each, into pairs of ids.
 
     A pair must be of different components, of sizes in ratio, and its likelihood estimate high enough; one that shares
     several bands is looked at in the first of them only. best: of each member only the pair of the highest estimate.
@@ -175,7 +190,7 @@ def _block_pairs(slack: float, percent: int, best: bool):
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(side), M)
         ids, sizes, comp = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
         short = None if best else t.column("short").to_pylist()
-        number, out = t.column("number")[0].as_py(), []
+        number, out = int(np.flatnonzero(_band_keys(regs[:1])[0] == t.column("band")[0].as_py())[0]), []
         crossed = bool((side == 1).any())
         right = np.flatnonzero(side == 1) if crossed else np.arange(len(side))
         cut: dict[tuple[int, bool], np.ndarray] = {}
@@ -219,7 +234,7 @@ def _block_pairs(slack: float, percent: int, best: bool):
             t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
             if not t.num_rows:
                 continue
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "low", "high")])
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "among", "low", "high")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             found, start = [], 0
             for end in cuts:
@@ -234,69 +249,121 @@ def _block_pairs(slack: float, percent: int, best: bool):
     return run
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, k: int, tag: str) -> DataFrame:
-    """The full sets of some documents: id, items."""
-    return materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, items binary"), f"{tag}-sets")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, tag: str) -> DataFrame:
-    """Pairs (a, b) of representatives whose full sets reach the threshold."""
-    sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), k, tag)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
-    return materialize(both.select("a", "b", "a_items", "b_items").mapInPandas(_confirm(percent), "a long, b long"), f"{tag}-links")
+    """Pairs (a, b) of representatives whose full sets reach the threshold. A document's text is shipped once with up to FAN partners."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(FAN))).cast("int").alias("salts"))
+    heads = salts.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")).withColumn("b", F.lit(None).cast("long"))
+    tails = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    rows = docs.join(heads, F.col("doc_id") == F.col("a")).unionByName(docs.join(tails, F.col("doc_id") == F.col("b"))).select("a", "salt", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return materialize(rows.mapInArrow(_confirm(percent, k), "a long, b long"), f"{tag}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.12) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept.
+def _open_rows(buckets: DataFrame, component: DataFrame, tag: str) -> DataFrame:
+    """Members of buckets that hold several components, dealt to pairs of blocks: band, id, component, among, low, high, side.
 
-    slack: how far under the threshold an estimate may lie for the pair to be confirmed on full sets; 0.12 is 4.4
-    standard deviations of the estimate with 250 registers.
+    A bucket's largest component (side 1) meets the others (side 0); if these are of several components, they meet among
+    themselves too.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(docs.mapInArrow(_sketch(k), "doc_id long, n long, print binary, regs binary"), "sketch")
-    known = sketches.where("doc_id is not null and n > 0")
-    reps = known.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    member = materialize(known.select("doc_id", "n", "print").join(reps, "print").select("doc_id", "n", "rep"), "member")
-    chosen = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "regs")
-
-    banded = materialize(chosen.select("doc_id", "n", "regs").mapInArrow(_bands, "band long, number int, id long, n long"), "bands")
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
+    placed = materialize(buckets.select("band", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")), f"{tag}-placed")
+    per = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("main_c"), F.sum("c").alias("c"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda c: F.ceil(c / F.lit(float(BLOCK))).cast("int")
+    mixed = materialize(mixed.select("band", "main", "kinds", blocks(F.col("main_c")).alias("mains"), blocks(F.col("c") - F.col("main_c")).alias("others")), f"{tag}-mixed")
+    rows = placed.join(mixed, "band").withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    deal = """case when is_main then transform(sequence(0, others - 1), o -> struct(0 as among, block as low, o as high, 1 as side))
+        else concat(transform(sequence(0, mains - 1), m -> struct(0 as among, m as low, block as high, 0 as side)),
+          case when kinds > 2 then transform(sequence(0, others - 1), o -> struct(1 as among, least(block, o) as low, greatest(block, o) as high, if(block <= o, 0, 1) as side))
+          else array() end) end"""
+    out = materialize(rows.select("band", "id", "component", F.explode(F.expr(deal)).alias("x")).select("band", "id", "component", "x.*"), f"{tag}-open")
+    release(placed, mixed)
+    return out
+
+
+def _components(docs: DataFrame, percent: int, k: int, slack: float) -> DataFrame:
+    """docs (doc_id, text) of distinct ids -> id, n, component (of the smallest id); empty sets are alone."""
+    sketches = materialize(docs.mapInArrow(_sketch(k), "id long, n long, print binary, regs binary"), "sketch")
+    filled = sketches.where("n > 0")
+    reps = materialize(filled.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
+    of_group = join_groups(filled.select("id", "n", "print"), reps, ["print"], "copies", filled.count()).select("id", "n", "rep")
+    member = materialize(of_group.unionByName(sketches.where("n = 0").select("id", "n", F.col("id").alias("rep"))), "member")
+    chosen = materialize(filled.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "regs"), "chosen")
+    release(sketches, reps)
+
+    banded = chosen.mapInArrow(_bands, "band long, id long, n long")
+    hubs = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = materialize(hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
-    regs = lambda side: chosen.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs"))
+    release(hubs)
+    regs = lambda side: chosen.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs"))
 
     star = buckets.where("id <> hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     star = materialize(star.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "a_n", "b_n", "a_regs", "b_regs").mapInPandas(_likely(slack, percent), "a long, b long"), "star")
-    links = _verified(star, docs, percent, k, "star")
-    component = connected_components(links, "star")
+    links = [_verified(star, docs, percent, k, "star")]
+    release(star)
+    component = connected_components(links[0], "star")
 
     for best in (True, False):
         tag = "best" if best else "rest"
-        placed = buckets.select("band", "number", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low <> high").select("band", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-        rows = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = materialize(rows.select("band", "number", "id", "component", "blocks", "block"), f"{tag}-open")
+        rows = _open_rows(buckets, component, tag)
         if rows.isEmpty():
             break
-        facts = chosen.withColumnRenamed("doc_id", "id")
+        facts = chosen
         if not best:
+            release(buckets)
             wanted = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            facts = facts.join(materialize(wanted.mapInArrow(_sets(k, short=True), "id long, short binary"), "short").dropDuplicates(["id"]), "id")
-        dealt = rows.select("band", "number", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        dealt = dealt.select("band", "number", "id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-        order = ["band", "low", "high"]
-        dealt = dealt.join(facts, "id").repartition(*order).sortWithinPartitions(*order)
+            facts = facts.join(wanted.mapInArrow(_shorts(k), "id long, short binary"), "id")
+        order = ["band", "among", "low", "high"]
+        dealt = rows.join(facts, "id").repartition(*order).sortWithinPartitions(*order)
         seen = dealt.mapInArrow(_block_pairs(slack, percent, best), "id long, other long, estimate double")
         if best:
             seen = seen.groupBy("id").agg(F.max_by("other", F.struct("estimate", -F.col("other"))).alias("other"))
         pairs = materialize(seen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{tag}-pairs")
+        release(rows)
         found = _verified(pairs, docs, percent, k, tag)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            component = connected_components(links, tag)
+            links.append(found)
+            component = connected_components(reduce(DataFrame.unionByName, links), tag)
+    component = materialize(component, "component")
+    release(chosen, *links)
+    return member.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def rows_with_components(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.12) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) with a number of their own: all columns, `_row`, `_n` and `_component` (a row number)."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = _components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, k, slack)
+    return rows.join(found.select(F.col("id").alias("_row"), F.col("n").alias("_n"), F.col("component").alias("_component")), "_row")
+
+
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    r = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return r[0] == r[1]
+
 
-    final = member.select("doc_id", "rep").distinct().join(component.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    rows = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.12) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept.
+
+    slack: how far under the threshold an estimate may lie for the pair to be confirmed on full sets; 0.12 is 4.4
+    standard deviations of the estimate with 250 registers.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if distinct_ids(docs):
+        rows = _components(docs, percent, k, slack).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    else:  # rows are the nodes; rows of one id are linked, and a component is named by its smallest id
+        named = materialize(rows_with_components(docs.where("doc_id is not null"), percent, k, slack).select("doc_id", "_n", "_component"), "named")
+        each = named.select("doc_id", "_component").distinct()
+        several = each.groupBy("doc_id").agg(F.min("_component").alias("a"), F.count("*").alias("c")).where("c > 1")
+        same = each.join(several, "doc_id").select("a", F.col("_component").alias("b"))
+        joined = connected_components(same, "same").select(F.col("id").alias("_component"), "component")
+        named = materialize(named.join(joined, "_component", "left").select("doc_id", "_n", F.coalesce("component", "_component").alias("_component")), "joined")
+        least = named.groupBy("_component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
+        rows = join_groups(named, materialize(least, "least"), ["_component"], "copies", named.count()).select("doc_id", F.col("_n").alias("n_shingles"), "component_id")
+        lost = docs.where("doc_id is null").mapInArrow(_sketch(k), "id long, n long, print binary, regs binary")
+        rows = rows.unionByName(lost.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
