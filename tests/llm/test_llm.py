@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.llm import bt_quality, common, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
-from isobar.llm.common import connected_components, gapless_rank
+from isobar.llm.common import connected_components, gapless_rank, join_groups
 
 ODD = [(1, None), (2, ""), (3, "   \n "), (4, "one two"), (5, "one two"), (6, "12 !!"), (7, "x"), (8, "long " * 30_000), (8, "long " * 30_000), (None, "no id here at all")]
 
@@ -67,6 +67,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(9, a), (2, a + " x"), (2, b), (7, b), (7, b), (5, c), (5, ""), (None, c), (1, ""), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(docs(spark, rows, extra=True)).collect()), key=str)
+    n = [len(t.split()) - 4 for t in (a, a + " x", b, c)]
+    want = [(9, n[0], 2, False), (2, n[1], 2, True), (2, n[2], 2, True), (7, n[2], 2, False), (7, n[2], 2, False), (5, n[3], 5, True), (5, 0, 5, True), (None, n[3], None, None), (1, 0, 1, True), (None, 0, None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "FAN", 3)
+    rng = random.Random(9)
+    rows, i = [], 0
+    for _ in range(3):  # families of copies that share two thirds: many buckets of several components
+        base = words(rng, 60).split()
+        for _ in range(4):
+            head = base[:44] + words(rng, 16).split()
+            for _ in range(10):
+                w = list(head)
+                w[rng.randrange(44, 60)] = words(rng, 1)
+                rows.append((i, " ".join(w)))
+                i += 1
+    want = brute_components(rows)
+    for block in (4096, 5):
+        monkeypatch.setattr(setsketch, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(docs(spark, rows)).collect()}
+        assert got == want
+
+
 def test_likelihood_estimate_is_close():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
@@ -146,11 +176,21 @@ def test_sharding(spark):
 
 def test_gapless_rank_with_many_buckets(spark):
     d = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
-    got = gapless_rank(d, ["k"], ["id"], 1000, "r", chunk=100).toPandas()
+    d = d.unionByName(d.where("id < 10"))  # repeated rows
+    got = gapless_rank(d, "k", {r[0]: r[1] for r in d.groupBy("k").count().collect()}, ["id"], "r", chunk=100).toPandas()
+    assert len(got) == 1010
     for _, s in got.groupby("k"):
         assert sorted(s.r) == list(range(len(s)))
 
 
+def test_join_groups_of_hot_and_cold_keys(spark):
+    d = spark.range(4000).select("id", F.when(F.col("id") < 1500, 1).otherwise(F.col("id") % 700).alias("k"))
+    groups = d.groupBy("k").agg(F.count("*").alias("c"))
+    got = join_groups(d, groups, ["k"], "c", 4000)
+    assert got.count() == 4000 and got.exceptAll(d.join(groups, "k").select(*got.columns)).isEmpty()
+    assert join_groups(d.limit(0), groups.limit(0), ["k"], "c", 0).count() == 0
+
+
 def test_line_dedup(spark):
     rows = [(i, f"Menu\nown line {i}\n\n Menu \nShared", "en", "site") for i in range(20)] + [(20, "Menu\nMenu", "en", "site"), (21, None, "en", "site"), (22, "Menu\nother", "en", "small"), (23, "Menu\nx", "en", None)]
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
@@ -247,6 +287,38 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(post[:, 0], want / total) and np.allclose(expected, moves / total) and np.isclose(log_z[0], np.log(total))
 
 
+@pytest.mark.parametrize("labels", [3, 40])
+def test_a_document_is_one_chain(labels):
+    rng = np.random.default_rng(6)
+    lengths = np.array([1, 0, 5, 64, 65, 128, 300, 0, 1000, 2])
+    scores = rng.normal(0, 3, (lengths.sum(), labels)).astype(np.float32)
+    trans, first = rng.normal(0, 2, (labels, labels)), rng.normal(0, 2, labels)
+    got, at = crf_language.chain_posteriors(scores, lengths, trans, first), 0
+    for n in lengths:
+        if n:
+            want, _, _ = crf_language.forward_backward(scores[at : at + n, None].astype(float), np.ones((n, 1), bool), trans, first)
+            assert np.allclose(got[at : at + n], want[:, 0], atol=1e-9)
+        at += n
+
+
+def test_transitions_reach_over_pieces():
+    model = crf_language.Crf(["a", "b"], [])
+    model.trans = np.array([[0.0, -30.0], [-30.0, 0.0]])  # no change of language: the first word decides for all others
+    model.first = np.array([4.0, 0.0])
+    (label, score, words), = crf_language.Labeller(model).label([" ".join(["word"] * 500)])
+    assert label == "a" and score > 0.98 and words == [500, 0]
+
+
+def test_texts_without_letters_are_und(spark):
+    model = crf_language.Crf(["a", "b"], [])
+    texts = ["\u00bd \u00b2 \u2460", "\u2163 12", None, "", "_ 1 !", "x\u00b2y", "\u00bd z"]
+    got = {r.doc_id: r for r in crf_language.identify(docs(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i].lang_pred for i in range(7)] == ["und"] * 5 + ["a"] * 2 and got[0].score == 0.0 and got[0].words == []
+    assert got[5].words[0].words == 2 and crf_language.words_of(texts[5]) == ["x", "y"]
+    kept = crf_language.recognised(docs(spark, [(7, "12345 !!!"), (7, "good words"), (None, ""), (None, "more words")], extra=True), model, 0.4)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "more words"), (7, "good words")]
+
+
 def test_language_on_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = crf_language.identify(d, crf_language.learn_folds(d)).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -273,7 +345,7 @@ def test_language_reads_long_runs_of_letters():
     chains = [(crf_language.words_of(run(x, 60)), y) for x, y in (("abcd", 0), ("wxyz", 1)) * 200]
     model.fit([(w, np.full(len(w), y)) for w, y in chains])
     text = run("abcd", 21) + run("wxyz", 2000) + run("abcd", 3)  # the ends speak for one language, nearly all of it for the other
-    (label, score), (same, _) = crf_language.Labeller(model).label([text, run("abcd", 500)])
+    (label, score, _), (same, _, _) = crf_language.Labeller(model).label([text, run("abcd", 500)])
     assert (label, same) == ("b", "a") and score > 0.9
     whole = run("abcdefgh", 500)
     pieces = crf_language.words_of(whole)
