@@ -3,9 +3,12 @@
 A text's features are its distinct lower-cased terms, hashed. The machine scores w0 + sum w_i + sum_{i<j} <v_i, v_j>: the
 factors v learn pairs of terms that mean more together than apart, such as an insult and the mention of a group, which
 additive weights miss. It is fitted by AdaGrad on the logistic loss with L2 on a bounded sample: at most TRAIN_ROWS labelled
-documents of each label (those with the smallest hash of doc_id), whole texts. Hashed terms of fewer than MIN_DOCS training
-documents, or whose frequency differs between the labels by less than MIN_Z standard errors, are left out, so the score
-of a long text isn't the sum of thousands of accidental weights.
+documents of each label (those with the smallest hash of doc_id; at most twice as many rows where ids repeat), whole texts.
+
+Terms of the final machine: a first machine is fitted on all terms of at least MIN_DOCS training documents, with inputs scaled
+to unit length, so that the score of a long text isn't the sum of thousands of accidental weights. The PAIR_TERMS terms to
+which it gives the largest weights and factors for their frequency are taken, which finds terms that mean nothing apart and
+much together, and all terms whose own frequency differs between the labels by MIN_Z standard errors or more.
 
 Null or empty texts have no terms and get the score of the intercept. Conflicting labels of one doc_id are all used.
 A null doc_id has a null held_out. Extra columns are ignored. Without labels of both kinds every score is the share of
@@ -26,7 +29,7 @@ from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, read_table
 
 BUCKETS = 2**22
 TRAIN_ROWS = 6_000
-MIN_DOCS, MIN_Z = 3, 3.0
+MIN_DOCS, MIN_Z, PAIR_TERMS = 3, 3.0, 128
 FACTORS = 8
 _TERM = re.compile(r"\w+")
 
@@ -37,6 +40,16 @@ class Terms(dict):
     def __init__(self, numbers: dict[int, int] | None = None):
         self.numbers = numbers
 
+    _kept: "tuple[int, Terms] | None" = None
+
+    @classmethod
+    def of_process(cls, numbers: dict[int, int]) -> "Terms":
+        """The memory for a model's terms in this Python worker, which serves many tasks."""
+        name = xxhash.xxh3_64_intdigest(np.array(list(numbers), np.int64).tobytes())
+        if cls._kept is None or cls._kept[0] != name:
+            cls._kept = (name, cls(numbers))
+        return cls._kept[1]
+
     def __missing__(self, term: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
@@ -96,10 +109,46 @@ class Machine:
         return self
 
 
+def first_machine(rows: list[np.ndarray], y: np.ndarray, terms: int, epochs: int = 12, rate: float = 0.2, decay: float = 2e-4, batch: int = 64, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and norms of the factors of a machine on unit-length inputs, fitted by AdaGrad with weight decay."""
+    rng, ones = np.random.default_rng(seed), y.sum()
+    weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - ones) / max(1.0, ones))), 1.0)
+    w, v, bias = np.zeros(terms, np.float32), rng.normal(0, 0.02, (terms, FACTORS)).astype(np.float32), np.log(ones / (len(y) - ones))
+    gw, gv, gb = np.full(terms, 1e-2, np.float32), np.full(terms, 1e-2, np.float32), 1e-2
+    filled = np.array([i for i in rng.permutation(len(rows)) if len(rows[i])], np.int64)
+    parts = []
+    for at in range(0, len(filled), batch):  # what a batch touches is the same in each epoch
+        part = filled[at : at + batch]
+        sizes = np.array([len(rows[i]) for i in part])
+        used, back = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        parts.append((part, used, back, sizes, np.cumsum(sizes) - sizes, np.repeat(np.arange(len(part)), sizes), order, np.searchsorted(back[order], np.arange(len(used)))))
+    for _ in range(epochs):
+        for k in rng.permutation(len(parts)):
+            part, used, back, sizes, start, doc, order, first = parts[k]
+            scale = (1.0 / np.sqrt(sizes)).astype(np.float32)
+            x = v[used][back] * scale[doc][:, None]
+            s = np.add.reduceat(x, start, axis=0)
+            z = bias + np.add.reduceat(w[used][back], start) * scale + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((x * x).sum(axis=1), start))
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)).astype(np.float32)
+            gb += g.sum() ** 2
+            bias -= rate * g.sum() / np.sqrt(gb)
+            pull = (g * scale)[doc]
+            step = np.add.reduceat(pull[order], first)
+            gw[used] += step**2
+            w[used] -= rate * step / np.sqrt(gw[used])
+            step = np.add.reduceat((pull[:, None] * (s[doc] - x))[order], first, axis=0)
+            gv[used] += (step**2).sum(axis=1)
+            v[used] -= rate * step / np.sqrt(gv[used])[:, None]
+            w *= np.float32(1 - rate * decay)
+            v *= np.float32(1 - rate * decay)
+    return w, np.sqrt((v * v).sum(axis=1))
+
+
 def _term_lists(batches):
     terms = Terms()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([terms.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["label", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array([terms.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["label", "h", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS) -> Machine:
@@ -111,29 +160,44 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS) -> Ma
     spark = docs.sparkSession
     sample = spark.createDataFrame([(int(i), int(v)) for i, v in sorted(set(chosen))], "doc_id long, label int")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    got = joined.select("label", "text").mapInArrow(_term_lists, "label int, terms array<int>").toArrow()
+    got = joined.select("label", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_term_lists, "label int, h long, terms array<int>")
+    got = got.orderBy("h").limit(2 * len(chosen)).toArrow()
     y = np.array(got.column("label").to_pylist(), float)
     rows = [np.array(t, np.int64) for t in got.column("terms").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))  # a row order that no task order changes
     y, rows = y[order], [rows[i] for i in order]
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 1e-3
     if len(set(y.tolist())) < 2:
         return Machine(np.zeros(0, np.int64), 30.0 if len(y) and y[0] else -30.0)
-    every = np.concatenate(rows)
-    marks = np.repeat(y, [len(r) for r in rows])
-    buckets, at = np.unique(every, return_inverse=True)
-    one, both = np.bincount(at, marks, len(buckets)), np.bincount(at, minlength=len(buckets))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    p = both / len(y)
-    z = np.abs(one / n1 - (both - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    buckets = buckets[(both >= MIN_DOCS) & (z >= MIN_Z)]
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    buckets = _chosen_terms(rows, y)
     model = Machine(buckets, np.log(share / (1 - share)))
     return model.fit([[model.numbers[i] for i in r.tolist() if i in model.numbers] for r in rows], y)
 
 
+def _chosen_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The buckets of the terms that the final machine knows."""
+    buckets, at = np.unique(np.concatenate(rows), return_inverse=True)
+    marks = np.repeat(y, [len(r) for r in rows])
+    one, both = np.bincount(at, marks, len(buckets)), np.bincount(at, minlength=len(buckets))
+    often = np.flatnonzero(both >= MIN_DOCS)
+    if not len(often):
+        return buckets[:0]
+    number = np.full(len(buckets), -1, np.int64)
+    number[often] = np.arange(len(often))
+    parts = np.split(number[at], np.cumsum([len(r) for r in rows])[:-1])
+    w, v = first_machine([p[p >= 0] for p in parts], y, len(often))
+    one, both = one[often], both[often]
+    n1, n0, p = y.sum(), len(y) - y.sum(), both / len(y)
+    spread = np.sqrt(p * (1 - p))
+    z = np.abs(one / n1 - (both - one) / n0) / np.maximum(spread * np.sqrt(1 / n1 + 1 / n0), 1e-9)
+    keep = z >= MIN_Z
+    keep[np.argsort(-(np.abs(w) + v) * spread, kind="stable")[:PAIR_TERMS]] = True
+    return buckets[often[keep]]
+
+
 def _scores(model: Machine):
     def run(batches):
-        terms = Terms(model.numbers)
+        terms = Terms.of_process(model.numbers)
         for batch in batches:
             values = [model.score(terms.of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(v >= 0.7) for v in values], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])

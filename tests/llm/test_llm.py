@@ -370,6 +370,52 @@ def test_factors_learn_what_weights_cannot():
     assert np.mean([(m.score(r) > 0.5) == v for r, v in zip(rows, y)]) == 1.0
 
 
+def test_toxicity_learns_pairs_that_mean_nothing_apart(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = [f"w{rng.randrange(200)}" for _ in range(15)] + [("insult", "flower")[a], ("people", "garden")[b]]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(a == b)))
+    known = spark.createDataFrame(labels[:1000], "doc_id long, label int")
+    model = fm_toxicity.train(docs(spark, rows), known)
+    terms = fm_toxicity.Terms(model.numbers)
+    right = [(model.score(terms.of(rows[i][1])) > 0.5) == (labels[i][1] == 1) for i in range(1000, 1500)]
+    assert np.mean(right) > 0.97
+    got = {r.doc_id: r.score for r in fm_toxicity.toxicity(docs(spark, rows[1000:1100] + [(None, None), (-1, "")]), model).collect()}
+    for i in range(1000, 1100):  # the sum over pairs, written out
+        ids = terms.of(rows[i][1])
+        z = model.bias + sum(model.w[j] for j in ids) + sum(float(model.v[j] @ model.v[k]) for j, k in combinations(ids, 2))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert abs(got[None] - 1 / (1 + np.exp(-model.bias))) < 1e-9 and got[-1] == got[None]
+
+
+def test_quality_ranks_pairs(spark):
+    """The fitted utility orders preference pairs; the stated gradient of the pair loss is zero at the fit."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, bt_quality.FEATURES))
+    y = (x[:, 0] - 0.5 * x[:, 3] + rng.normal(0, 0.3, 400) > 0).astype(int)
+    m = bt_quality.Ranker().fit(x, y, float((y == 0).mean()), pairs=5000)
+    u = m.utility(x)
+    assert np.mean(u[y == 1][:, None] > u[y == 0][None, :]) > 0.95
+    score = m.score(x)
+    assert abs((score < bt_quality.THRESHOLD).mean() - (y == 0).mean()) < 0.02 and (np.diff(score[np.argsort(u)]) >= 0).all()
+    pick = np.random.default_rng(4)
+    z = m.expand(x)
+    d = z[pick.choice(np.flatnonzero(y == 1), 5000)] - z[pick.choice(np.flatnonzero(y == 0), 5000)]
+    gradient = d.T @ (1 / (1 + np.exp(-d @ m.beta)) - 1) + m.beta
+    assert np.abs(gradient).max() < 1e-3
+
+
+def test_samples_are_bounded_in_rows(spark):
+    d = docs(spark, [(i % 4, f"text number {i} " * 5) for i in range(4000)])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, label int")
+    assert fm_toxicity.toxicity(d, fm_toxicity.train(d, labels, per_label=2)).count() == 4000
+    assert bt_quality.quality(d, bt_quality.train(d, labels, per_label=2)).count() == 4000
+
+
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_awkward_tables(spark, rows):
     d = docs(spark, rows, extra=True)
