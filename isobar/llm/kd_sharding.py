@@ -1,12 +1,15 @@
 """K-d tree sharding: recursive splits at distributed weighted medians along the widest metadata dimension.
 
-A document weighs its text's bytes plus ROW_BYTES. Its dimensions are its size, its id, its source and its language, each
-scaled to whole numbers over the table's range; ties are ordered by a hash. A node that must become k shards is split along
-the dimension in which its rows are spread widest, at the weighted quantile floor(k/2)/k, until every leaf is one shard of
-total / n_shards bytes. The law is `bytes`: shard sizes are equal up to one group at each cut.
+A document weighs its text's bytes plus ROW_BYTES. Its dimensions are its size, its id, and the ranks of its source and its
+language among their distinct values, each scaled to whole numbers over the table's range; ties are ordered by a hash. A node
+that must become k shards is split along the dimension in which its rows are spread widest, at the weighted quantile that
+its halves' shards have room for, until every leaf is one shard of total / n_shards bytes. The law is `bytes`: shard sizes are
+equal up to one small group at each cut.
 
 Equal texts are a group: they share one point (the smallest id, source and language of the group) and so stay in one shard.
-A group heavier than GROUP_SHARE of a shard would break the law; it is dealt over several points by a hash of the id.
+A group heavier than BIG of a shard would miss the cuts by too much: such groups, fewer than n_shards / BIG, are placed
+whole before the tree is grown, the heaviest first into the shard with the most room, and the tree fills what room is left.
+Only a group heavier than a shard is dealt over several, as few as hold it.
 
 Finding a cut needs no sort: the weight is summed by (node, bin) over BINS bins of the node's range, the bin that holds the
 cut is opened again, and so on; at most nodes x BINS sums reach the driver per step, whatever the input. Only built-in
@@ -18,22 +21,31 @@ placed each. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobar.llm.common import gapless_rank, materialize, read_table
+from isobar.llm.common import gapless_rank, join_groups, materialize, read_table, release
 
 ROW_BYTES = 8
 BINS = 1024
 SCALE = 2**28
 TIE_BITS = 31
-GROUP_SHARE = 1 / 50
+BIG = 1 / 50
+#: Pieces for each shard that a group heavier than a shard needs.
+PIECES = 64
 DIMENSIONS = ["d_size", "d_doc", "d_source", "d_lang"]
 
 
-def _prefix_code(name: str) -> Column:
-    """The first seven bytes of a string as a whole number: keeps the order of strings."""
-    return F.conv(F.substring(F.rpad(F.hex(F.coalesce(F.col(name), F.lit("")).cast("binary")), 14, "0"), 1, 14), 16, 10).cast("long")
+def _ranks(groups: DataFrame, column: str) -> DataFrame:
+    """value -> its rank among the distinct values of a column (nulls first) and how often it occurs; no task sorts them all."""
+    values = groups.groupBy(column).agg(F.count("*").alias(f"n_{column}"))
+    dealt = materialize(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()), f"values-{column}")
+    sizes, before = {r[0]: r[1] for r in dealt.groupBy("part").count().collect()}, {}
+    for part in sorted(sizes):
+        before[part] = sum(sizes[p] for p in before)
+    at = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")) if before else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_first(column))) - 1
+    return dealt.select(column, f"n_{column}", (at + rank).cast("long").alias(f"d_{column}"))
 
 
 def _by_node(values: dict[int, int], default: int = 0) -> Column:
@@ -86,30 +98,68 @@ def _cut(rows: DataFrame, dims: dict[int, str], goals: dict[int, float], ranges:
     return cuts
 
 
+def _place_big(pieces: list[tuple], n_shards: int, target: float) -> tuple[dict[tuple, int], list[float]]:
+    """Groups (weight, *group, piece) into shards, the heaviest first where most room is; and the room that is left.
+
+    A group's pieces stay together; those of a group that is heavier than a shard fill one shard after another.
+    """
+    groups: dict[tuple, list[tuple[int, int]]] = {}
+    for weight, *group, piece in pieces:
+        groups.setdefault(tuple(group), []).append((piece, weight))
+    room, shard_of = [target] * n_shards, {}
+    most = lambda: max(range(n_shards), key=lambda s: (room[s], -s))
+    for group in sorted(groups, key=lambda g: (-sum(w for _, w in groups[g]), g)):
+        shard = most()
+        for piece, weight in sorted(groups[group]):
+            if weight > room[shard] and len(groups[group]) > 1:
+                shard = most()
+            shard_of[*group, piece] = shard
+            room[shard] -= weight
+    return shard_of, [max(0.0, x) for x in room]
+
+
 def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """docs (doc_id, text, source, lang) -> doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    raw = F.col("text").cast("binary")
+    spark, raw = docs.sparkSession, F.col("text").cast("binary")
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
-        F.xxhash64("text").alias("g1"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(raw), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
+        F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"), F.xxhash64("text").alias("g1"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
     )
     base = materialize(base, "shard-base")
-    whole = base.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    whole = base.agg(F.count("*"), F.sum("size")).first()
     count, total = whole[0], whole[1] or 0
-    limit = max(total / n_shards * GROUP_SHARE, float(whole[2] or 1))
+    target = total / n_shards
     key = ["g1", "text_crc32", "size"]
     groups = base.groupBy(*key).agg(F.count("*").alias("copies"), F.min("doc_id").alias("d_doc"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    groups = groups.select(*key, F.ceil(F.col("copies") * F.col("size") / F.lit(limit)).alias("parts"), F.coalesce("d_doc", F.lit(-1)).alias("d_doc"), _prefix_code("source").alias("d_source"), _prefix_code("lang").alias("d_lang"))
-    rows = base.select("doc_id", *key).join(groups, key).withColumn("d_size", F.col("size"))
-    # parts of an overweight group are points of their own; any other group is one point
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts"))).otherwise(F.lit(0))
-    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64(*key, part), 64 - TIE_BITS))
-    rows = materialize(rows.select("doc_id", "size", "text_crc32", "tie", *DIMENSIONS), "shard-points")
+    groups = materialize(groups, "shard-groups")
+
+    heavy = F.col("copies") * F.col("size") > F.lit(BIG * target)
+    big = groups.where(heavy).select(*key, F.ceil(F.col("copies") * F.col("size") / F.lit(max(target, 1.0))).cast("int").alias("parts"))
+    big = big.withColumn("parts", F.when(F.col("parts") > 1, F.col("parts") * PIECES).otherwise(1))
+    part = F.pmod(F.xxhash64(F.lit(1), "row"), F.col("parts")).cast("int").alias("part")
+    of_big = base.join(F.broadcast(big), key).select("doc_id", *key, part)
+    weights = [(r["w"], r["g1"], r["text_crc32"], r["size"], r["part"]) for r in of_big.groupBy(*key, "part").agg(F.sum("size").alias("w")).collect()]
+    shard_of, room = _place_big(weights, n_shards, target)
+    homes = spark.createDataFrame([(*name, shard) for name, shard in shard_of.items()], "g1 long, text_crc32 long, size long, part int, shard int")
+    placed_big = of_big.join(F.broadcast(homes), [*key, "part"]).select("doc_id", "size", "text_crc32", "shard")
+
+    small = groups.where(~heavy)
+    for c in ("source", "lang"):
+        ranks = _ranks(small, c)
+        small = join_groups(small.withColumn("_null", F.col(c).isNull()).withColumn(c, F.coalesce(c, F.lit(""))), ranks.withColumn("_null", F.col(c).isNull()).withColumn(c, F.coalesce(c, F.lit(""))), [c, "_null"], f"n_{c}", count).drop("_null", c, f"n_{c}")
+    small = materialize(small.withColumn("d_doc", F.coalesce("d_doc", F.lit(-1))), "shard-facts")
+    rows = base.select("doc_id", *key).join(F.broadcast(big.select(*key)), key, "left_anti")
+    rows = join_groups(rows, small, key, "copies", count).withColumn("d_size", F.col("size"))
+    rows = rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64(*key), 64 - TIE_BITS))
+    rows = points = materialize(rows.select("doc_id", "size", "text_crc32", "tie", *DIMENSIONS), "shard-points")
+    placed_big = materialize(placed_big, "shard-big")
+    release(base, groups, small)
     span = rows.agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).first()
     for d in DIMENSIONS:
         low, high = span[f"low_{d}"] or 0, span[f"high_{d}"] or 0
         rows = rows.withColumn(d, F.floor((F.col(d) - F.lit(low)).cast("double") / F.lit(float(max(1, high - low))) * F.lit(float(SCALE))).cast("long"))
     rows = materialize(rows.withColumn("node", F.lit(0)), "shard-level")
+    release(points)
 
     shares, first, following = {0: n_shards}, {0: 0}, 1  # node -> shards it becomes, its first shard
     while any(k > 1 for k in shares.values()):
@@ -119,7 +169,8 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
         for r in facts.collect():
             n = r["node"]
             dims[n] = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
-            goals[n] = r["w"] * (shares[n] // 2) / shares[n]
+            left, right = sum(room[first[n] : first[n] + shares[n] // 2]), sum(room[first[n] + shares[n] // 2 : first[n] + shares[n]])
+            goals[n] = r["w"] * (left / (left + right) if left + right > 0 else (shares[n] // 2) / shares[n])
             ranges[n] = (r[f"low_{dims[n]}"] << TIE_BITS, (r[f"high_{dims[n]}"] << TIE_BITS) + 2**TIE_BITS - 1)
         moves = []
         for n, cut in _cut(rows, dims, goals, ranges).items():
@@ -129,9 +180,11 @@ def kd_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
             first[left], first[right] = first[n], first[n] + shares[n] // 2
         for n in split:  # a node without rows is not split
             del shares[n]
-        rows = materialize(_descend(rows, moves), "shard-level")  # else the plan would double with each level
+        above, rows = rows, materialize(_descend(rows, moves), "shard-level")  # else the plan would double with each level
+        release(above)
     leaf = {n: first[n] for n in shares}
-    placed = materialize(rows.select("doc_id", "size", "text_crc32", _by_node(leaf).cast("int").alias("shard")), "shard-placed")
+    placed = materialize(rows.select("doc_id", "size", "text_crc32", _by_node(leaf).cast("int").alias("shard")).unionByName(placed_big), "shard-placed")
+    release(rows, placed_big)
     counts = {r[0]: r[1] for r in placed.groupBy("shard").count().collect()}
     out = gapless_rank(placed, "shard", counts, ["doc_id", "size", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -163,15 +163,62 @@ def test_pack_histogram_uses_each_piece_once(seed):
     assert used == counts
 
 
-def test_sharding(spark):
+def shard_rows():
     rng = random.Random(2)
-    rows = [(i, words(rng, rng.randrange(1, 60)) if i % 3 else "hot text of a third of all rows", rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(900)] + [(1000, None, None, None), (1001, "", "en", "a")]
-    got = kd_sharding.kd_shards(docs(spark, rows, extra=True), 8).toPandas()
-    size = got.groupby("shard")["size"].sum()
-    assert len(got) == len(rows) and len(size) == 8 and size.max() - size.min() < 0.1 * size.mean()
+    rows = [(i, words(rng, rng.randrange(1, 60)) if i % 3 else "hot text of a third of all rows " * 4, rng.choice(["en", "de", None]), rng.choice(["https://a.org/1", "https://a.org/2", "https://b.org", None, ""])) for i in range(900)]
+    rows += [(2000 + i, "a text of a fifth of a shard " * 5, "en", "x") for i in range(8)] + [(1000, None, None, None), (1001, "", "en", "a"), (None, "no id", "en", "a"), (5, rows[5][1], "en", "a")]
+    return rows
+
+
+def test_sharding_against_a_walk_down_the_tree(spark):
+    rows, n = shard_rows(), 8
+    got = kd_sharding.kd_shards(docs(spark, rows, extra=True), n).toPandas()
+    weight = lambda t: len((t or "").encode()) + kd_sharding.ROW_BYTES
+    assert Counter(zip(got["size"], got.text_crc32)) == Counter((weight(t), zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    target = sum(weight(t) for _, t, *_ in rows) / n
+    per = got.groupby("shard")["size"].sum()
+    assert len(per) == n and per.max() - per.min() < 0.04 * target
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
-    assert got["size"].sum() == sum(len((t or "").encode()) + 8 for _, t, *_ in rows)
+    groups: dict[str | None, list] = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    points, seen = [], {(s, c): set(x.shard) for (s, c), x in got.groupby(["size", "text_crc32"])}
+    spread = {}
+    for text, members in groups.items():
+        w = weight(text) * len(members)
+        shards = seen[weight(text), zlib.crc32((text or "").encode())] if text else set(got[got["size"] == kd_sharding.ROW_BYTES].shard)
+        assert len(shards) <= -(-w // target) if text else len(shards) <= 2
+        if w <= kd_sharding.BIG * target:
+            low = lambda i: min((m[i] for m in members if m[i] is not None), default=None)  # noqa: E731, B023
+            points.append([w, min(shards), weight(text), low(0) if low(0) is not None else -1, low(3), low(2)])
+        spread[text] = len(shards)
+    assert spread["hot text of a third of all rows " * 4] > 1 == spread["a text of a fifth of a shard " * 5]
+    for column in (4, 5):
+        values = sorted({p[column] for p in points}, key=lambda v: (v is not None, v))
+        for p in points:
+            p[column] = values.index(p[column])
+    for column in (2, 3, 4, 5):
+        low, high = min(p[column] for p in points), max(p[column] for p in points)
+        for p in points:
+            p[column] = int((p[column] - low) / max(1, high - low) * kd_sharding.SCALE)
+
+    def walk(points, first, count):
+        if count == 1 or not points:
+            return
+        width = [max(p[c] for p in points) - min(p[c] for p in points) for c in (2, 3, 4, 5)]
+        dim, middle = 2 + width.index(max(width)), first + count // 2
+        left, right = [p for p in points if p[1] < middle], [p for p in points if p[1] >= middle]
+        assert not left or not right or max(p[dim] for p in left) <= min(p[dim] for p in right)
+        walk(left, first, count // 2)
+        walk(right, middle, count - count // 2)
+
+    walk(points, 0, n)
+
+
+def test_ranks_of_values(spark):
+    d = spark.createDataFrame([(x,) for x in ["https://b", "https://a", None, "", "https://a", "é"]], "source string")
+    assert sorted((r.d_source, r.source, r.n_source) for r in kd_sharding._ranks(d, "source").collect()) == [(0, None, 1), (1, "", 1), (2, "https://a", 2), (3, "https://b", 1), (4, "é", 1)]
 
 
 def test_gapless_rank_with_many_buckets(spark):
