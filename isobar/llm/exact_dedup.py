@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import materialize, read_table
+from isobar.llm.common import join_groups, materialize, read_table, release
 
 BLOCK_BYTES = 8_192
 
@@ -72,8 +72,9 @@ def _name_runs(width: int):
     return run
 
 
-def _named(rows: DataFrame, contents: list[str], tag: str) -> DataFrame:
-    """rows (row, doc_id, pos, sha, total, *contents) -> (row, doc_id, pos, sha, total, name), equal contents having equal names."""
+def _named(rows: DataFrame, contents: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """rows (row, doc_id, pos, sha, total, *contents) -> (row, doc_id, pos, sha, total, name), equal contents having equal names;
+    and the table that this reads."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     keyed = rows.select(F.xxhash64(*contents).alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(contents)], "row", "doc_id", "pos", "sha", "total")
@@ -84,7 +85,7 @@ def _named(rows: DataFrame, contents: list[str], tag: str) -> DataFrame:
     edges = seen.where("h is not null").withColumn("own", own)
     one = edges.groupBy("h", *[f"c{i}" for i in range(len(contents))]).agg(F.min("own").alias("name"), F.collect_list("own").alias("all")).where(F.size("all") > 1)
     moved = one.select("name", F.explode("all").alias("own"))
-    return seen.where("h is null").withColumn("own", own).join(moved, "own", "left").select("row", "doc_id", "pos", "sha", "total", F.coalesce("name", "own").alias("name"))
+    return seen.where("h is null").withColumn("own", own).join(moved, "own", "left").select("row", "doc_id", "pos", "sha", "total", F.coalesce("name", "own").alias("name")), seen
 
 
 def normalised(text) -> "F.Column":
@@ -100,7 +101,9 @@ def block_identity(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     blocks = body.withColumn("sha", F.unhex(F.sha2("raw", 256))).select("row", "doc_id", "sha", "total", F.explode(cut).alias("b"))
     blocks = blocks.select("row", "doc_id", F.col("b.pos").alias("pos"), F.when(F.col("b.pos") == 0, F.col("sha")).alias("sha"), "total", F.col("b.block").alias("block"))
     level = 0
-    names = materialize(_named(blocks, ["block"], "blocks"), "names0")
+    names, runs = _named(blocks, ["block"], "blocks")
+    names = materialize(names, "names0")
+    release(runs)
     done = names.where("total = 1").select("doc_id", "sha", F.lit(0).alias("level"), "name")
     while True:
         more = names.where("total > 1")
@@ -112,15 +115,18 @@ def block_identity(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.expr("cast(max(shiftright(total + 1, 1)) as int)").alias("total"),
             F.max(F.when(F.col("side") == 0, F.col("name"))).alias("left_name"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("name"))), F.lit(-1)).alias("right_name"),
         )
-        names = materialize(_named(pairs, ["left_name", "right_name"], f"pairs{level}"), f"names{level}")
+        names, runs = _named(pairs, ["left_name", "right_name"], f"pairs{level}")
+        names = materialize(names, f"names{level}")
+        release(runs)
         done = done.unionByName(names.where("total = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name"))
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    ids = block_identity(docs, block_bytes)
+    ids = materialize(block_identity(docs, block_bytes), "identities")
     groups = ids.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    named = join_groups(ids, materialize(groups, "identity-groups"), ["level", "name"], "group_size", ids.count())
+    return named.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
