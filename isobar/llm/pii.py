@@ -18,18 +18,22 @@ A value is a vector of symbols with radices. Its even and odd places are the two
 symbol of a half moves, modulo its radix, by bytes of a keyed SHA-512 of the round, the format and the other half: a Feistel
 network for mixed radices, so a permutation. Dates walk the cycle until the number is a day's. Built-in functions only.
 
+The key has no default: an operator's caller gives it, the query takes spark.isobar.pii.key. Where that is not set it draws a
+random one, so that links hold within the application; set it to keep them from run to run.
+
 Null texts stay null and empty ones empty. Numbers that fail validation stay as they are. Very long texts are read whole.
 Repeated rows are treated alike. Extra columns are kept by the operator. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import read_table
+from isobar.llm.common import fresh, read_table
 
-KEY = "isobar"
 ROUNDS = 8
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
 _B, _E = r"(?<![\w.-])", r"(?![\w-])"
@@ -146,19 +150,29 @@ def pseudonym_sql(m: str, key: str) -> str:
         else struct(cast(null as string) as kind, {m} as value) end"""
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """All columns of docs with the text pseudonymised, plus _pii: array of struct(kind, value), the pseudonyms in order."""
-    pattern = f"case when size(_cards) = 0 then {_sql(ANY)} else concat({_sql(ANY + r'|(?<!\w)(?:')}, array_join(_cards, '|'), {_sql(r')(?!\w)')}) end"
-    found = F.expr(f"case when {text} rlike '[0-9@]|[Pp][Aa][Ss][Ss][Ww]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_' then regexp_extract_all({text}, _pattern, 0) else array() end")
-    rows = docs.withColumn("_cards", F.expr(cards_sql(text))).withColumn("_pattern", F.expr(pattern))
-    rows = rows.withColumn("_found", F.coalesce(found, F.expr("cast(array() as array<string>)")))
-    rows = rows.withColumn("_made", F.expr(f"transform(_found, m -> {pseudonym_sql('m', key)})"))
-    parts = f"split({text}, _pattern, -1)"
-    rebuilt = F.expr(f"case when size(_found) = 0 then {text} else concat_ws('', transform({parts}, (p, i) -> concat(p, coalesce(get(_made, i).value, '')))) end")
-    return rows.withColumn(text, rebuilt).withColumn("_pii", F.expr("filter(_made, x -> x.kind is not null)")).drop("_cards", "_pattern", "_found", "_made")
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "_pii") -> DataFrame:
+    """All columns of docs with the text pseudonymised, and `found`: array of struct(kind, value), the pseudonyms in order."""
+    if found in docs.columns:
+        raise ValueError(f"docs has a column {found}")
+    body, cards, pattern, values, made = fresh(docs, "_text", "_cards", "_pattern", "_found", "_made")
+    every = f"case when size({cards}) = 0 then {_sql(ANY)} else concat({_sql(ANY + r'|(?<!\w)(?:')}, array_join({cards}, '|'), {_sql(r')(?!\w)')}) end"
+    hits = f"case when {body} rlike '[0-9@]|[Pp][Aa][Ss][Ss][Ww]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_' then regexp_extract_all({body}, {pattern}, 0) else array() end"
+    rows = docs.withColumn(body, F.col(text)).withColumn(cards, F.expr(cards_sql(body))).withColumn(pattern, F.expr(every))
+    rows = rows.withColumn(values, F.coalesce(F.expr(hits), F.expr("cast(array() as array<string>)")))
+    rows = rows.withColumn(made, F.expr(f"transform({values}, m -> {pseudonym_sql('m', key)})"))
+    parts = f"split({body}, {pattern}, -1)"
+    rebuilt = F.expr(f"case when size({values}) = 0 then {body} else concat_ws('', transform({parts}, (p, i) -> concat(p, coalesce(get({made}, i).value, '')))) end")
+    return rows.withColumn(text, rebuilt).withColumn(found, F.expr(f"filter({made}, x -> x.kind is not null)")).drop(body, cards, pattern, values, made)
+
+
+_KEYS: dict[str, str] = {}
+
+
+def session_key(spark) -> str:
+    """spark.isobar.pii.key, or a random key of this application: values are then linked within it, and nobody can undo them."""
+    return spark.conf.get("spark.isobar.pii.key", None) or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def op9_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.isobar.pii.key", KEY)
-    out = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    out = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", F.size("_pii").cast("long").alias("n_pii"), F.col("_pii.kind").alias("kinds"), F.col("_pii.value").alias("pseudonyms"), "text")
