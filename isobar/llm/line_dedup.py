@@ -2,8 +2,8 @@
 
 A line (trimmed of spaces and tabs) is boilerplate of its host if it stands on at least MIN_PAGES of the host's pages and on
 more than MAX_RATIO of them; a page counts once per line however often it repeats it. Such lines are taken out of the
-host's pages and the other lines stay as they are. A page all of whose lines are boilerplate is left whole: it is a copy, a
-matter of document dedup.
+host's pages and the other lines stay as they are. A page all of whose lines are boilerplate is a copy of other pages: it is
+reported as such and left whole, as dropping all copies would lose the text that document dedup keeps once.
 
 Lines are counted under a 128-bit key (two independent 64-bit hashes), first within tasks, so a line or a host with a third of all
 rows shuffles a row per task. The boilerplate lines themselves are at most hosts / MAX_RATIO times the lines of a page; they are
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import materialize, read_table
+from isobar.llm.common import fresh, materialize, read_table
 
 MAX_RATIO = 0.02
 MIN_PAGES = 5
@@ -43,26 +43,31 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     return often.groupBy("_host").agg(F.array_sort(F.collect_list("key")).alias("_drop"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All columns of docs with the text cleaned, plus lines_in, lines_out (non-blank lines)."""
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, lines_in: str = "_lines_in", lines_out: str = "_lines_out", copy: str = "_is_copy") -> DataFrame:
+    """All columns of docs with the text cleaned, plus the non-blank lines before and after, and whether all lines were
+    boilerplate and so the page was left whole (`lines_out` counts its lines all the same)."""
     names = docs.columns
+    if set(names) & {lines_in, lines_out, copy}:
+        raise ValueError("docs has a column of an output's name")
     host = F.col(host) if isinstance(host, str) else host
     often = materialize(boilerplate(docs.select(host.alias("_host"), F.col("text").alias("_text")), max_ratio, min_pages), "boilerplate")
-    joined = docs.withColumn("_host", host).join(often.withColumnRenamed("_host", "_site"), F.col("_host").eqNullSafe(F.col("_site")), "left")
+    own, site, drop, lines, kept, before, after = fresh(docs, "_own_host", "_site", "_drop_keys", "_lines", "_kept", "_before", "_after")
+    often = often.select(F.col("_host").alias(site), F.col("_drop").alias(drop))
+    joined = docs.withColumn(own, host).join(often, F.col(own).eqNullSafe(F.col(site)), "left")
     filled = f"x -> length({_trim('x')}) > 0"
-    joined = joined.withColumn("_lines", F.expr("split(text, '\n', -1)"))
-    joined = joined.withColumn("_kept", F.expr(f"case when _drop is null then _lines else filter(_lines, x -> length({_trim('x')}) = 0 or not array_contains(_drop, {_key(_trim('x'))})) end"))
-    joined = joined.withColumn("_in", F.expr(f"size(filter(_lines, {filled}))")).withColumn("_out", F.expr(f"size(filter(_kept, {filled}))"))
-    whole = F.col("_out") == 0
-    text = F.when(F.col("_in") == F.col("_out"), F.col("text")).when(whole, F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    fixed = [text.alias("text") if n == "text" else joined[n] for n in names]
+    joined = joined.withColumn(lines, F.expr("split(text, '\n', -1)"))
+    joined = joined.withColumn(kept, F.expr(f"case when {drop} is null then {lines} else filter({lines}, x -> length({_trim('x')}) = 0 or not array_contains({drop}, {_key(_trim('x'))})) end"))
+    joined = joined.withColumn(before, F.expr(f"size(filter({lines}, {filled}))")).withColumn(after, F.expr(f"size(filter({kept}, {filled}))"))
+    whole = (F.col(after) == 0) & (F.col(before) > 0)
+    text = F.when((F.col(before) == F.col(after)) | whole, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    fixed = [text.alias("text") if n == "text" else F.col(f"`{n}`") for n in names]
     count = lambda c: F.coalesce(F.greatest(c, F.lit(0)), F.lit(0)).cast("long")
-    return joined.select(*fixed, count(F.col("_in")).alias("_lines_in"), count(F.when(whole, F.col("_in")).otherwise(F.col("_out"))).alias("_lines_out"))
+    return joined.select(*fixed, count(F.col(before)).alias(lines_in), count(F.when(whole, F.col(before)).otherwise(F.col(after))).alias(lines_out), F.coalesce(whole, F.lit(False)).alias(copy))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_boilerplate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_lines_in").alias("lines_in"), F.col("_lines_out").alias("lines_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+    return out.select("doc_id", F.col("_lines_in").alias("lines_in"), F.col("_lines_out").alias("lines_kept"), F.col("_is_copy").alias("left_whole"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
 
 
 ORACLE = """
@@ -78,7 +83,8 @@ agg as (select r, count(*) filter (bare <> '') as lines_in, count(*) filter (bar
                string_agg(line, chr(10) order by pos) filter (not drop_it) as kept
         from marked group by 1)
 select doc_id, coalesce(lines_in, 0) as lines_in,
-       case when lines_out = 0 then coalesce(lines_in, 0) else lines_out end as lines_kept,
+       coalesce(case when lines_out = 0 then lines_in else lines_out end, 0) as lines_kept,
+       coalesce(lines_out = 0 and lines_in > 0, false) as left_whole,
        case when lines_out = lines_in or lines_out = 0 then text else kept end as text,
        sha256(case when lines_out = lines_in or lines_out = 0 then text else kept end) as text_sha256
 from docs left join agg using (r)
