@@ -332,6 +332,8 @@ def _components(docs: DataFrame, percent: int, k: int, slack: float) -> DataFram
 
 def rows_with_components(docs: DataFrame, percent: int = 75, k: int = 5, slack: float = 0.12) -> DataFrame:
     """The rows of docs (doc_id, text, ...) with a number of their own: all columns, `_row`, `_n` and `_component` (a row number)."""
+    if set(docs.columns) & {"_row", "_n", "_component"}:
+        raise ValueError("docs has a column of an output's name")
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = _components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, k, slack)
     return rows.join(found.select(F.col("id").alias("_row"), F.col("n").alias("_n"), F.col("component").alias("_component")), "_row")

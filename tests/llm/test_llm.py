@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from isobar.llm import bt_quality, common, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
 from isobar.llm.common import connected_components, gapless_rank, join_groups
 
-ODD = [(1, None), (2, ""), (3, "   \n "), (4, "one two"), (5, "one two"), (6, "12 !!"), (7, "x"), (8, "long " * 30_000), (8, "long " * 30_000), (None, "no id here at all")]
-
 
 def docs(spark, rows, extra=False):
     full = [(*r, *("en", f"s{i % 3}")[len(r) - 2 :]) if len(r) < 4 else r for i, r in enumerate(rows)]
@@ -282,7 +280,7 @@ def test_decontamination_against_brute_force(spark):
 
 def test_pseudonyms(spark):
     rows = [(1, "call +1 (988) 555-2485, card 4785380592391139 or 4785 3805 9239 1139 not 4785380592391138"), (2, "at 152.143.123.131 not 999.1.1.1 mail Bos.t-42@mail8.example.com"), (3, "on 2024-02-29 not 2023-02-29"), (4, None), (5, ""), (6, "(988) 555-2485 on 2024-02-29 card 4785-3805-9239-1139 password=b7db7aa4a5fcc78305")]
-    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows, extra=True)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows, extra=True), "k").collect()}
     digits = lambda x: re.sub(r"\D", "", x)
     one, six = got[1]._pii, got[6]._pii
     assert [x.kind for x in one] == ["phone", "card", "card"] and digits(one[1].value) == digits(one[2].value) == digits(six[2].value)
@@ -299,7 +297,7 @@ def test_pseudonyms_at_group_borders_and_of_any_case(spark):
     texts = [f"{card} 123", "4111111111111111 12/27", f"12 {card}", "4111-1111-1111-1111-123", f"{card} 555 223-4567", f"{card} 5500 0000 0000 0004", "411111 1111111111 77", f"{card} {card} " * 300]
     texts += [f'TOKEN = "{upper}"', f"Password={upper.title()}", "api_key: " + "0a" * 100, "secret=123456789012", "4111 1111 1111 1112 123", "5 4 3 2 1 " * 3000]
     texts += ["token=abcdefabcdef", "token=" + "9F" * 5000]
-    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, list(enumerate(texts)), extra=True)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, list(enumerate(texts)), extra=True), "k").collect()}
     digits = lambda x: re.sub(r"\D", "", x)
     cards = [digits(x.value) for i in range(8) for x in got[i]._pii if x.kind == "card"]
     assert len(cards) == 8 + 600 and not any("4111111111111111" in digits(got[i].text) for i in range(8))
@@ -463,21 +461,117 @@ def test_samples_are_bounded_in_rows(spark):
     assert bt_quality.quality(d, bt_quality.train(d, labels, per_label=2)).count() == 4000
 
 
-@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
-def test_awkward_tables(spark, rows):
-    d = docs(spark, rows, extra=True)
-    n = len(rows)
+def long_rows():
+    rng = random.Random(12)
+    return [(8, "long " * 30_000), (8, "long " * 30_000), (9, " ".join(f"w{rng.randrange(40)}" for _ in range(60_000)))]
+
+
+CLASH = ("n", "rep", "shard", "sequence_id", "score", "name", "level", "h", "id", "band", "size", "_host", "_lines", "_kept", "_in", "_out", "_drop", "_site", "_found", "_made", "_cards", "_pattern", "_text", "_id", "component", "row", "words", "_label", "_drop_keys", "_own_host")
+
+
+@pytest.mark.parametrize("case", ["odd", "empty"])
+def test_awkward_tables(spark, case):
+    """Null, empty and very long texts, null and repeated ids, columns of clashing names, tables without rows: the values."""
+    rows = [] if case == "empty" else [(1, None), (2, ""), (3, "   \n "), (4, "one two"), (5, "one two"), (6, "12 !!"), (7, "x"), *long_rows(), (None, "no id here at all")]
+    d = docs(spark, rows).withColumns({c: F.lit("clash") for c in CLASH})
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1)], "doc_id long, label int")
-    assert setsketch.near_duplicates(d).count() == n
-    assert exact_dedup.exact_dedup(d).count() == n
-    assert kd_sharding.kd_shards(d).count() == n
-    assert crf_language.identify(d, crf_language.learn_folds(d)).count() == n
-    assert fm_toxicity.toxicity(d, fm_toxicity.train(d, labels)).count() == n
-    assert bt_quality.quality(d, bt_quality.train(d, labels)).count() == n
-    assert line_dedup.drop_boilerplate(d).count() == n
-    assert pii.pseudonymise(d).count() == n
-    assert packing.pack(d, packing.tokenizer_path()).agg(F.sum("length")).first()[0] == (None if not rows else packing.pack(d, packing.tokenizer_path()).groupBy("doc_id", "start", "length").count().agg(F.sum(F.col("length") * F.col("count"))).first()[0])
-    assert decontaminate.contamination(d, spark.createDataFrame([(1, "one two")], "item_id long, text string")).count() == (2 if rows else 0)
+    key = lambda r: str(r)
+    of = lambda df, *names: sorted((tuple(r[n] for n in names) for r in df.collect()), key=key)
+    want = lambda f: sorted((f(i, t) for i, t in rows), key=key)
+    text = {i: t or "" for i, t in rows}
+
+    model = crf_language.learn_folds(d)
+    got = of(crf_language.identify(d, model), "doc_id", "held_out", "lang_pred")
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert got == want(lambda i, t: (i, None if i is None else zlib.crc32(str(i).encode()) % 5 == 0, "en" if letters(t) else "und"))
+    got = of(setsketch.near_duplicates(d), "doc_id", "n_shingles", "component_id", "kept")
+    size = lambda t: len(set(zip(*[(t or "").split()[j:] for j in range(5)]))) if len((t or "").split()) >= 5 else int(bool((t or "").split()))
+    first = {5: 4}
+    assert got == want(lambda i, t: (i, size(t), None if i is None else first.get(i, i), None if i is None else i not in first))
+    got = of(exact_dedup.exact_dedup(d), "doc_id", "keep_id", "group_size", "kept")
+    groups = {1: (1, 2, True), 2: (1, 2, False), 4: (4, 2, True), 5: (4, 2, False), 8: (8, 2, True)}
+    assert got == want(lambda i, t: (i, *groups.get(i, (i, 1, True))))
+    got = of(kd_sharding.kd_shards(d), "doc_id", "size", "text_crc32")
+    assert got == want(lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())))
+    toxic = fm_toxicity.train(d, labels)
+    terms = fm_toxicity.Terms(toxic.numbers)
+    got = of(fm_toxicity.toxicity(d, toxic), "doc_id", "held_out", "score", "predicted")
+    score = lambda t: toxic.score(terms.of(t))
+    assert got == want(lambda i, t: (i, None if i is None else zlib.crc32(str(i).encode()) % 3 == 1, score(t), int(score(t) >= 0.7)))
+    ranker = bt_quality.train(d, labels)
+    got = of(bt_quality.quality(d, ranker), "doc_id", "score", "predicted")
+    value = lambda t: float(ranker.score(bt_quality.features((t or "").encode())[None])[0])
+    assert [(x[0], round(x[1], 9), x[2]) for x in got] == want(lambda i, t: (i, round(value(t), 9), int(value(t) >= 0.3)))
+    cleaned = line_dedup.drop_boilerplate(d)
+    blank = lambda t: sum(bool(x.strip(" \t\r")) for x in (t or "").split("\n"))
+    assert of(cleaned, "doc_id", "text", "_lines_in", "_lines_out") == want(lambda i, t: (i, t, blank(t), blank(t)))
+    private = pii.pseudonymise(d, "key")
+    assert of(private, "doc_id", "text", "_pii") == want(lambda i, t: (i, t, []))
+    for out in (cleaned, private):
+        assert set(out.columns) >= set(d.columns) and out.where(" and ".join(f"`{c}` = 'clash'" for c in CLASH)).count() == len(rows)
+    tok = packing.ids_of(packing.tokenizer_path()).whole
+    got = packing.pack(d, packing.tokenizer_path()).toPandas()
+    total = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert got.length.sum() == total and (not rows or got.groupby("sequence_id").length.sum().max() <= 4096)
+    hits = decontaminate.contamination(d, spark.createDataFrame([(1, "one two"), (2, None), (3, "long " * 40)], "item_id long, text string"))
+    assert of(hits, "doc_id", "item_id", "similarity") == ([(4, 1, 1.0), (5, 1, 1.0), (8, 3, 1.0), (8, 3, 1.0)] if rows else [])
+    assert text or not rows
+
+
+def test_line_ratio_ties(spark):
+    """A line on exactly the ratio of pages stays; one on more goes."""
+    rows = [(i, "own " + str(i) + ("\ntie" if i < 5 else "") + ("\nmore" if i < 6 else ""), "en", "site") for i in range(250)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs(spark, rows), max_ratio=0.02).collect()}
+    assert got[0] == "own 0\ntie" and got[5] == "own 5"
+
+
+def test_language_ties_take_the_first_label():
+    assert crf_language.Labeller(crf_language.Crf(["a", "b"], [])).label(["some words"]) == [("a", 0.5, [2, 0])]
+
+
+def test_decontamination_of_repeated_shingles(spark):
+    rng = random.Random(4)
+    items, rows = [], []
+    for i, n in enumerate((60, 120, 200, 300)):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        same = ["again"] * int(n * 0.33)
+        items.append((i, " ".join(base + same)))
+        rows.append((i, " ".join(base + same[:-1] + ["b", "c"])))  # nearly the same
+        changed = int(len(base + same) * 0.13)
+        rows.append((10 + i, " ".join(base + same[: len(same) - changed] + [f"v{rng.randrange(10**6)}" for _ in range(changed)])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for d, t in rows:
+        a, b = (Counter(zip(*[x.split()[j:] for j in range(5)])) for x in (t, items[d % 10][1]))
+        both = sum((a & b).values())
+        value = both / (sum(a.values()) + sum(b.values()) - both)
+        assert ((d, d % 10) in got) == (value >= 0.75), (d, value)
+    assert len(got) >= 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sliding_fingerprints(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(20):
+        n = int(rng.integers(2, 50))
+        x, width = rng.integers(0, int(rng.integers(1, n + 1)), n).astype(np.uint64), int(rng.integers(1, n + 1))
+        assert (decontaminate.simhashes(x, width) == np.concatenate([decontaminate.simhashes(x[i : i + width], width) for i in range(n - width + 1)])).all()
+
+
+def test_pipeline_judges_rows(spark):
+    """Null and repeated ids: a row's own text decides."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    text = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 300 and 2000").limit(4).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    d = docs(spark, [(1, text[0]), (1, "12345 !!!"), (1, ""), (None, text[1]), (None, "12 !"), (None, f"{text[2]} {item}"), (3, f"{text[2]} {item}"), (7, text[3]), (7, text[3]), (6, text[3]), (None, text[3])])
+    spoken = corpus_pipeline.language(spark, d, sf)
+    assert spoken.count() == 8 and spoken.columns == d.columns
+    single = corpus_pipeline.near_dedup(spark, spoken, sf)
+    assert sorted((str(r.doc_id), r.text == text[3]) for r in single.collect()) == [("1", False), ("3", False), ("6", True), ("None", False)]
+    clean = corpus_pipeline.decontamination(spark, single, sf)
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["1", "6", "None"]
+    assert corpus_pipeline.decontamination(spark, d, sf).count() == 9
 
 
 def test_pipeline(spark):
