@@ -11,41 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm import crf_language, decontaminate, line_dedup, packing, setsketch
-from isobar.llm.common import materialize, read_table
+from isobar.llm.common import fresh, materialize, read_table
 
 #: A document stays if its language has at least this mean posterior; a text mixed of two languages in equal parts has 0.5.
 LEAST_LANGUAGE_SCORE = 0.35
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; null ids are compared as values."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without words and those in which no language reaches LEAST_LANGUAGE_SCORE."""
-    labels = crf_language.identify(docs, crf_language.learn_folds(docs))
-    return _keep(docs, labels.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    """Rejects texts without words and those in which no language reaches LEAST_LANGUAGE_SCORE. Rows are judged one by one."""
+    return crf_language.recognised(docs, crf_language.learn_folds(docs), LEAST_LANGUAGE_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's boilerplate lines out of its documents; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs).drop("_lines_in", "_lines_out")
+    before, after, copy = fresh(docs, "lines_before", "lines_after", "is_copy")
+    out = line_dedup.drop_boilerplate(docs, lines_in=before, lines_out=after, copy=copy)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    return _keep(docs, setsketch.near_duplicates(docs).where("kept or doc_id is null"))
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Where ids repeat or are missing, rows are told apart by a number of their own: of a group's rows the one with the
+    smallest id stays (no id comes last), of several with that id the first. Empty texts are no duplicates and stay.
+    """
+    if setsketch.distinct_ids(docs):
+        kept = setsketch.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
+        return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    rows = setsketch.rows_with_components(docs)
+    first = rows.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("first")).select(F.col("first._row").alias("_kept_row"))
+    return rows.join(first, rows["_row"] == first["_kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window that matches a benchmark item go."""
-    hits = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["_id"], "left_anti")
+    """Documents with a window that matches a benchmark item go. Rows are judged one by one."""
+    return decontaminate.uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
