@@ -53,12 +53,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing will read again, and lets Spark's cleaner remove the shuffle files of
-    finished steps: it does so when the driver's collector finds them unused."""
+    """Deletes materialized tables that nothing will read again."""
     for t in tables:
         _remove(t.sparkSession, t.scratch_path)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        settle(tables[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps: it does so when the driver's collector finds them unused."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

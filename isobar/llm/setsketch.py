@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import WordHash, connected_components, join_groups, materialize, mix64, read_table, release, shingle_hashes, word_hashes
+from isobar.llm.common import WordHash, connected_components, join_groups, materialize, mix64, read_table, release, settle, shingle_hashes, word_hashes
 
 M, R = 250, 5
 A, B, Q = 20.0, 1.001, 2**16 - 2
@@ -254,9 +254,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, tag: str)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(FAN))).cast("int").alias("salts"))
     heads = salts.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")).withColumn("b", F.lit(None).cast("long"))
     tails = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    heads, tails = materialize(heads, f"{tag}-heads"), materialize(tails, f"{tag}-tails")  # written, so that Spark knows their size when it plans the joins with texts
     rows = docs.join(heads, F.col("doc_id") == F.col("a")).unionByName(docs.join(tails, F.col("doc_id") == F.col("b"))).select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return materialize(rows.mapInArrow(_confirm(percent, k), "a long, b long"), f"{tag}-links")
+    out = materialize(rows.mapInArrow(_confirm(percent, k), "a long, b long"), f"{tag}-links")
+    release(heads, tails)
+    return out
 
 
 def _open_rows(buckets: DataFrame, component: DataFrame, tag: str) -> DataFrame:
@@ -294,12 +297,14 @@ def _components(docs: DataFrame, percent: int, k: int, slack: float) -> DataFram
     banded = chosen.mapInArrow(_bands, "band long, id long, n long")
     hubs = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     hubs = materialize(hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    settle(docs.sparkSession)
     buckets = materialize(banded.join(hubs, "band"), "buckets")
     release(hubs)
     regs = lambda side: chosen.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs"))
 
     star = buckets.where("id <> hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     star = materialize(star.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "a_n", "b_n", "a_regs", "b_regs").mapInPandas(_likely(slack, percent), "a long, b long"), "star")
+    settle(docs.sparkSession)
     links = [_verified(star, docs, percent, k, "star")]
     release(star)
     component = connected_components(links[0], "star")
@@ -312,15 +317,17 @@ def _components(docs: DataFrame, percent: int, k: int, slack: float) -> DataFram
         facts = chosen
         if not best:
             release(buckets)
-            wanted = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            facts = facts.join(wanted.mapInArrow(_shorts(k), "id long, short binary"), "id")
+            wanted = materialize(rows.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+            shorts = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shorts(k), "id long, short binary"), "shorts")
+            release(wanted)
+            facts = facts.join(shorts, "id")
         order = ["band", "among", "low", "high"]
         dealt = rows.join(facts, "id").repartition(*order).sortWithinPartitions(*order)
         seen = dealt.mapInArrow(_block_pairs(slack, percent, best), "id long, other long, estimate double")
         if best:
             seen = seen.groupBy("id").agg(F.max_by("other", F.struct("estimate", -F.col("other"))).alias("other"))
         pairs = materialize(seen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{tag}-pairs")
-        release(rows)
+        release(*([rows] if best else [rows, shorts]))
         found = _verified(pairs, docs, percent, k, tag)
         if not found.isEmpty():
             links.append(found)
