@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MAGNUS_A, MAGNUS_B = 17.625, 243.04
 TETENS_E0, TETENS_A, TETENS_B = 6.112, 17.67, 243.5
 LIMITS = {"temperature": (-35.0, 55.0), "dewpoint": (-45.0, 35.0), "humidity": (0.0, 100.0), "pressure": (850.0, 1090.0), "wind_speed": (0.0, 75.0), "wind_direction": (0.0, 360.0), "precipitation": (0.0, 350.0), "solar": (0.0, 1450.0)}
+EARTH_KM = 6371.0
 GROSS = {"temperature": (-90.0, 60.0), "pressure": (400.0, 1100.0), "humidity": (0.0, 100.0)}
 STEPS = {"temperature": 12.0, "dewpoint": 12.0, "pressure": 8.0, "wind_speed": 30.0, "humidity": 50.0}
 
@@ -51,4 +52,4 @@ def outside(x: Column, bounds: tuple[float, float]) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def clean(x: Column) -> Column:
@@ -75,21 +76,32 @@ def ewm_last(history: str, halflife: float) -> Column:
     return F.expr(f"aggregate(slice({history}, 2, greatest(size({history}) - 1, 0)), {history}[0], (a, x) -> {alpha!r}D * x + {1 - alpha!r}D * a)")
 
 
-def ewm(df: DataFrame, x: str, halflife: float, keys: list[str], out: str, time: str = "us", chunk: int = 64) -> DataFrame:
-    """Running ewm of a group in O(n): chunks of rows are folded to (decay, level), chunks are chained, rows finish inside.
+def ewm(df: DataFrame, x: str, halflife: float, keys: list[str], out: str, time: str = "us", adjust: bool = False) -> DataFrame:
+    """Running ewm of a group in order of time; a missing value counts 0.
 
-    level(i) = a x(i) + (1 - a) level(i - 1). A chunk's rows are an array of at most `chunk` values, so memory is bounded
-    whatever the group's size.
+    level(i) = a x(i) + (1 - a) level(i - 1), from level(0) = x(0); with adjust, the weighted mean whose weights (1 - a)^k sum
+    to 1 however short the past. One exchange and one pass: rows stream through in order and only the last level is held, so
+    the time is linear and the memory the same for a group of any length.
     """
     alpha = 1 - 0.5 ** (1 / halflife)
-    w = ordered(keys, time)
-    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_c", F.floor(F.col("_i") / chunk))
-    inside = Window.partitionBy(*keys, "_c").orderBy(time)
-    start = f"CASE WHEN _i % {chunk} = 0 AND _c = 0 THEN 1D ELSE {alpha!r}D END"
-    df = df.withColumn("_h", F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.expr(start).alias("f"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_own", F.expr(f"aggregate(_h, 0D, (a, y) -> y.f * y.x + CASE WHEN y.f = 1D THEN 0D ELSE {1 - alpha!r}D END * a)")).drop("_h")
-    chain = df.groupBy(*keys, "_c").agg(F.max_by("_own", "_i").alias("_end"), F.count("*").alias("_n"))
-    history = F.collect_list(F.struct("_end", "_n")).over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    chain = chain.withColumn("_before", F.aggregate(history, F.lit(0.0), lambda a, y: y["_end"] + F.pow(F.lit(1 - alpha), y["_n"]) * a))
-    df = df.join(chain.select(*keys, "_c", "_before"), [*keys, "_c"], "left")
-    return df.withColumn(out, F.col("_own") + F.pow(F.lit(1 - alpha), F.col("_i") % chunk + 1) * F.coalesce("_before", F.lit(0.0))).drop("_i", "_c", "_own", "_before")
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        group, level, weight = None, 0.0, 0.0
+        for batch in batches:
+            found = []
+            for key, value in zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column(x).to_pylist()):
+                value = 0.0 if value is None or value != value else float(value)
+                if key != group:
+                    group, level, weight = key, value, 1.0
+                elif adjust:
+                    weight = weight * (1 - alpha) + 1.0
+                    level += (value - level) / weight
+                else:
+                    level = alpha * value + (1 - alpha) * level
+                found.append(level)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(run, schema)

@@ -130,6 +130,30 @@ def wide_decisions(df: DataFrame, spec: ObservationSpec, thresholds: dict[tuple[
     return df.withColumn("anomaly_score", score).withColumn("alert", F.when(scored, F.coalesce(any_true, F.lit(False)))).withColumn("is_candidate", F.coalesce(any_true, F.lit(False))).withColumn("reason_codes", F.concat_ws("|", *reasons)).withColumn("scoring_status", F.when(scored, "scored_available_signals").otherwise("missing_observation"))
 
 
+def explanations(df: DataFrame, spec: ObservationSpec, thresholds: dict[tuple[str, str], float]) -> DataFrame:
+    """One row per signal over its threshold: channel, signal, value, threshold, ratio."""
+    cells = [F.struct(F.lit(c).alias("channel"), F.lit(s).alias("signal"), F.col(f"{c}__{s}").alias("value"), F.lit(float(t)).alias("threshold")) for (c, s), t in thresholds.items()]
+    rows = df.select(*spec.keys, spec.time, F.explode(F.array(*cells)).alias("x")).select(*spec.keys, spec.time, "x.*")
+    return rows.where(F.col("value") > F.col("threshold")).withColumn("exceedance_ratio", ratio(F.col("value"), F.col("threshold")))
+
+
+def live_decisions(df: DataFrame, spec: ObservationSpec, thresholds: dict[tuple[str, str], float], domains: dict[str, tuple[tuple[float, str], tuple[float, str]]]) -> DataFrame:
+    """wide_decisions with physics alerts, severity and availability.
+
+    domains: a channel's least and largest value and the alert's name below and above. Severity is high with a physics alert or
+    a candidate of twice a threshold, review for other candidates, else info. Unreported slots and missing channels are
+    facts of availability; nothing is filled.
+    """
+    d = wide_decisions(df, spec, thresholds)
+    alerts = []
+    for c, ((low, under), (high, over)) in domains.items():
+        alerts += [F.when(F.col(c) < low, f"{c}:{under}"), F.when(F.col(c) > high, f"{c}:{over}")]
+    slots = F.floor((F.col(spec.time) - F.lag(spec.time).over(seq.ordered(spec.keys, spec.time))) / spec.cadence) - 1
+    d = d.withColumn("physics_alerts", F.concat_ws("|", *alerts)).withColumn("unreported_slots_before", F.greatest(F.coalesce(slots, F.lit(0)), F.lit(0)).cast("long"))
+    severity = F.when((F.col("physics_alerts") != "") | (F.coalesce(F.col("anomaly_score") >= 2, F.lit(False)) & F.col("is_candidate")), "high").when(F.col("is_candidate"), "review").otherwise("info")
+    return d.withColumn("severity", severity).withColumn("missing_channels", F.concat_ws("|", *[F.when(F.col(c).isNull(), c) for c in spec.channels]))
+
+
 def candidate_events(decisions: DataFrame, keys: list[str], cadence: int, time: str = "us", ident: str = "id", kind: str = "candidate") -> DataFrame:
     """Contiguous alerts of a key as closed intervals: bounds, count, largest score, sorted distinct reasons, first and last id."""
     alerts = seq.gap_runs(decisions.where("alert"), cadence, keys, "_run", time)

@@ -128,6 +128,44 @@ def quantile_grid(df: DataFrame, quantiles: list[float], y: str = "y", score: st
     return per.withColumn("objective", f1 * F.when(_ratio(F.col("tp") * 1.0, F.col("predicted")) < floor, 0.5).otherwise(1.0))
 
 
+def quantile_objective(df: DataFrame, keys: list[str], order: str, quantiles: list[float], strict: float = 0.7, floor: float = 0.35, y: str = "y", score: str = "score") -> DataFrame:
+    """At each quantile of the scores: strict x F1 + (1 - strict) x point-adjusted F1, halved under the precision floor.
+
+    Point-adjusted: a hit anywhere in a true segment counts for all of its rows. Segments are found once; per segment only its
+    largest score is needed.
+    """
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    grid = known.agg(F.percentile(score, F.array(*map(F.lit, quantiles))).alias("t")).select(F.posexplode("t").alias("i", "threshold"))
+    true = label_segments(df, keys, order, y, "_seg").where(F.col(y) == 1).groupBy(*keys, "_seg").agg(F.count("*").alias("rows"), F.max(score).alias("top"))
+    rows = known.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count("*").alias("n")).crossJoin(F.broadcast(grid))
+    hit = F.col("s") >= F.col("threshold")
+    per = rows.groupBy("i", "threshold").agg(F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("predicted"), F.sum("pos").alias("positives"))
+    whole = true.crossJoin(F.broadcast(grid)).where(F.col("top") >= F.col("threshold")).groupBy("i").agg(F.sum("rows").alias("adjusted"))
+    d = per.join(whole, "i", "left").withColumn("adjusted", F.coalesce("adjusted", F.lit(0)))
+    f1 = _ratio(2.0 * F.col("tp"), F.col("predicted") + F.col("positives"))
+    soft = _ratio(2.0 * F.col("adjusted"), F.col("adjusted") + (F.col("predicted") - F.col("tp")) + F.col("positives"))
+    objective = (strict * f1 + (1 - strict) * soft) * F.when(_ratio(1.0 * F.col("tp"), F.col("predicted")) < floor, 0.5).otherwise(1.0)
+    return d.select("i", "threshold", f1.alias("f1"), soft.alias("adjusted_f1"), objective.alias("objective"))
+
+
+def quantile_threshold(df: DataFrame, score: str, q: float, keys: list[str]) -> DataFrame:
+    """The q-quantile of each group's scores; where all scores are the same, the next larger number, so that none exceeds it."""
+    one = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.percentile(score, q).alias("t"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.count("*").alias("n"))
+    up = F.expr("cast(java_method('java.lang.Math', 'nextUp', hi) as double)")
+    return one.select(*keys, F.when(F.col("lo") == F.col("hi"), up).otherwise(F.col("t")).alias("threshold"), "n")
+
+
+def group_report(df: DataFrame, keys: list[str], order: str, y: str = "y", p: str = "p") -> DataFrame:
+    """Strict and point-adjusted scores of every group and pooled over all (keys NULL); no event reaches over a group's end."""
+    d = point_adjust(df, keys, order, y, p).where(F.col(y).isNotNull())
+    c = lambda a, b, v: F.count_if((F.col(y) == a) & (F.col(v) == b))
+    sums = d.groupBy(*keys).agg(F.count("*").alias("n"), c(1, 1, p).alias("tp"), c(0, 1, p).alias("fp"), c(1, 0, p).alias("fn"), c(1, 1, "adjusted").alias("atp"), c(1, 0, "adjusted").alias("afn"))
+    own = sums.select(*[F.col(k).cast("string").alias(k) for k in keys], *sums.columns[len(keys) :])
+    pooled = sums.agg(*[F.sum(x).alias(x) for x in sums.columns[len(keys) :]]).select(*[F.lit(None).cast("string").alias(k) for k in keys], *sums.columns[len(keys) :])
+    out = own.unionByName(pooled)
+    return out.select(*keys, "n", "tp", "fp", "fn", _ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), _ratio(2.0 * F.col("atp"), 2 * F.col("atp") + F.col("fp") + F.col("afn")).alias("adjusted_f1"))
+
+
 def reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
     """Per bin of predicted probability: rows, mean prediction, observed share."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
@@ -144,7 +182,8 @@ def balanced_weights(df: DataFrame, group: str, y: str) -> DataFrame:
     """Weights that give every group, and within it every label, the same total; unknown labels weigh nothing."""
     counts = df.where(F.col(y).isNotNull()).groupBy(group, y).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group)
-    counts = counts.withColumn("_classes", F.count("*").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy())).withColumn("_groups", F.size(F.collect_set(group).over(Window.partitionBy())))
+    totals = counts.agg(F.sum("_n").alias("_all"), F.count_distinct(group).alias("_groups"))
+    counts = counts.withColumn("_classes", F.count("*").over(w)).crossJoin(F.broadcast(totals))
     return counts.withColumn("weight", F.col("_all") / (F.col("_groups") * F.col("_classes") * F.col("_n"))).select(group, y, F.col("_n").alias("n"), "weight")
 
 

@@ -24,47 +24,48 @@ def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     return float(shape[best]), float(shape[best] / theta[best])
 
 
-def pot_threshold(scores: np.ndarray, q_init: float = 0.98, risk: float = 1e-3) -> float:
-    """Peaks-over-threshold quantile; the 0.995 quantile where there are too few values or the fit fails."""
-    x = np.sort(scores[np.isfinite(scores)])
-    if not len(x):
-        return math.inf
-    if x[0] == x[-1]:
-        return float(np.nextafter(x[0], np.inf))
-    plain = float(np.quantile(x, 0.995))
-    if len(x) < 1000:
-        return plain
-    start = float(np.quantile(x, q_init))
-    excess = x[x > start] - start
-    if len(excess) < 50:
-        return plain
-    shape, scale = gpd_fit(excess)
-    ratio = len(x) * risk / len(excess)
-    out = start - scale * math.log(ratio) if abs(shape) < 1e-9 else start + scale / shape * (ratio ** (-shape) - 1)
-    return out if math.isfinite(out) and out > start else plain
-
-
-def pot_by_group(df: DataFrame, key: str, score: str, tail: int = 200_000) -> DataFrame:
-    """POT threshold of each group from its count, two quantiles and exceedances: only the tail above the 0.98 quantile
-    leaves the JVM, dealt per group; a tail over `tail` values raises instead of being cut."""
-    base = df.where(F.col(score).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile(score, 0.98).alias("t0"), F.percentile(score, 0.995).alias("plain"))
-    top = df.join(F.broadcast(base), key).where(F.col(score) > F.col("t0")).select(key, "n", "t0", "plain", (F.col(score) - F.col("t0")).alias("x"))
+def _gpd_grid(mean: float, top: float) -> np.ndarray:
+    return np.concatenate([-(1 - 1e-6) / top * np.geomspace(1, 1e-4, 200), np.geomspace(1e-6 / mean, 50 / mean, 400)])
 
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        if len(f) > tail:
-            raise ValueError(f"{len(f)} exceedances in one group")
-        n, t0, plain = int(f.n.iloc[0]), float(f.t0.iloc[0]), float(f.plain.iloc[0])
-        out = plain
-        if n >= 1000 and len(f) >= 50:
-            shape, scale = gpd_fit(f.x.to_numpy())
-            r = n * 1e-3 / len(f)
-            v = t0 - scale * math.log(r) if abs(shape) < 1e-9 else t0 + scale / shape * (r ** (-shape) - 1)
-            out = v if math.isfinite(v) and v > t0 else plain
-        return pd.DataFrame({key: [f[key].iloc[0]], "threshold": [out], "exceedances": [len(f)]})
 
+def pot_by_group(df: DataFrame, key: str, score: str, q_init: float = 0.98, risk: float = 1e-3) -> DataFrame:
+    """Peaks-over-threshold quantile of each group; the 0.995 quantile with too few values or where the fit fails.
+
+    The likelihood of a group's exceedances is profiled over a grid of theta = shape / scale: each grid value needs one sum of
+    log(1 + theta x), so a tail of any length is summed where it lies, in slices dealt to many tasks, and only sums meet.
+    A group whose values are all the same has the next larger number.
+    """
+    base = df.where(F.col(score).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.percentile(score, q_init).alias("t0"), F.percentile(score, 0.995).alias("plain"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    top = df.join(base, key).where(F.col(score) > F.col("t0")).select(key, (F.col(score) - F.col("t0")).alias("x"))
+    facts = top.groupBy(key).agg(F.count("*").alias("m"), F.avg("x").alias("mean"), F.max("x").alias("top"))
     kind = df.schema[key].dataType.simpleString()
-    fitted = top.groupBy(key).applyInPandas(fit, f"{key} {kind}, threshold double, exceedances long")
-    return base.join(fitted, key, "left").select(key, "n", F.coalesce("threshold", "plain").alias("threshold"), F.coalesce("exceedances", F.lit(0)).alias("exceedances"))
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        theta = _gpd_grid(float(f["mean"].iloc[0]), float(f["top"].iloc[0]))
+        x = f["x"].to_numpy()
+        total = np.zeros(len(theta))
+        for i in range(0, len(x), 4096):
+            total += np.log1p(theta[:, None] * x[None, i : i + 4096]).sum(axis=1)
+        return pd.DataFrame({key: f[key].iloc[:1].to_numpy(), "sums": [total.tolist()]})
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        mean, top_x, m, n, t0 = (float(f[c].iloc[0]) for c in ("mean", "top", "m", "n", "t0"))
+        theta, shape = _gpd_grid(mean, top_x), np.sum(np.stack(f["sums"].to_list()), axis=0) / m
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ll = np.where(shape / theta > 0, -np.log(shape / theta) - shape - 1, -np.inf)
+        best = int(ll.argmax())
+        c, scale = (0.0, mean) if ll[best] <= -math.log(mean) - 1 else (float(shape[best]), float(shape[best] / theta[best]))
+        ratio = n * risk / m
+        v = t0 - scale * math.log(ratio) if abs(c) < 1e-9 else t0 + scale / c * (ratio ** (-c) - 1)
+        return pd.DataFrame({key: f[key].iloc[:1].to_numpy(), "fitted": [v if math.isfinite(v) and v > t0 else None]})
+
+    enough = facts.join(base.select(key, "n", "t0"), key).where("n >= 1000 and m >= 50")
+    slices = top.join(enough.select(key, "mean", "top"), key).withColumn("_slice", F.pmod(F.xxhash64("x"), F.lit(64)))
+    parts = slices.groupBy(key, "_slice").applyInPandas(lambda f: sums(f), f"{key} {kind}, sums array<double>")
+    fitted = parts.join(enough, key).groupBy(key).applyInPandas(lambda f: fit(f), f"{key} {kind}, fitted double")
+    up = F.expr("cast(java_method('java.lang.Math', 'nextUp', hi) as double)")
+    out = base.join(facts.select(key, "m"), key, "left").join(fitted, key, "left")
+    return out.select(key, "n", F.when(F.col("lo") == F.col("hi"), up).otherwise(F.coalesce("fitted", "plain")).alias("threshold"), F.coalesce("m", F.lit(0)).alias("exceedances"))
 
 
 class IsolationForest:
@@ -164,13 +165,6 @@ def platt(df: DataFrame, score: str, y: str) -> tuple[float, float]:
     return float(m.coefficients[0]), float(m.intercept)
 
 
-def temperature(probabilities: str, t: float):
-    """Probabilities sharpened (t < 1) or softened (t > 1): p^(1/t), normalised."""
-    raised = F.transform(F.col(probabilities), lambda p: F.pow(F.greatest(p, F.lit(1e-12)), F.lit(1 / t)))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
-
-
 def group_bootstrap(df: DataFrame, group: str, y: str, p: str, draws: int = 500, seed: int = 0) -> DataFrame:
     """Mean and 95 % interval of pooled F1 over draws of whole groups with replacement.
 
@@ -200,7 +194,7 @@ def inject_faults(df: DataFrame, keys: list[str], x: str, rate: float = 0.02, le
     kinds = ["spike", "drift", "stuck", "dropout", "noise"]
     pick = F.array(*map(F.lit, kinds))[F.pmod(F.xxhash64(F.lit(seed + 1), *keys, "_b"), F.lit(len(kinds))).cast("int")]
     scale = df.groupBy(*keys).agg(F.greatest(F.stddev_samp(x), F.lit(1e-3)).alias("_s"))
-    d = d.withColumn("fault", F.when(u < rate, pick)).join(F.broadcast(scale), keys)
+    d = d.withColumn("fault", F.when(u < rate, pick)).join(scale, keys)
     block = Window.partitionBy(*keys, "_b").orderBy(time)
     first = F.first(x, True).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     place = (F.col("_i") % length) / float(length)
@@ -212,11 +206,32 @@ def inject_faults(df: DataFrame, keys: list[str], x: str, rate: float = 0.02, le
     return d.withColumn("injected", new).withColumn("modified", ~F.col("injected").eqNullSafe(F.col(x))).drop("_i", "_b", "_s")
 
 
-def classify_event(df: DataFrame, keys: list[str], x: str, time: str = "us") -> DataFrame:
-    """A rule ladder over an event's rows: dropout, stuck, spike, drift, noise, else complex; unknown without values."""
-    s = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(x).alias("seen"), F.stddev_pop(x).alias("deviation"), F.max(x).alias("high"), F.min(x).alias("low"), F.corr(x, F.col(time).cast("double")).alias("trend"))
+def classify_event(events: DataFrame, reference: DataFrame, keys: list[str], x: str, time: str = "us", reference_keys: list[str] | None = None) -> DataFrame:
+    """A rule ladder over an event's rows against reference rows of the same keys, or of `reference_keys` among them.
+
+    In order: mostly missing is dropout; under 3 rows a spike; standing still over 6 rows stuck; nine tenths zeros dropout; a line
+    of over 3 reference deviations drift; over 3 times the deviation noise; under 0.4 times it over 12 rows a scale error; a
+    shift of 1.5 deviations bias; single large values spikes; pressed against the reference's upper end clipping; else complex.
+    Without a reference the type is unknown.
+    """
+    ref = reference.groupBy(*(reference_keys or keys)).agg(F.percentile(x, 0.5).alias("_med"), F.percentile(x, 0.98).alias("_q98"), F.stddev_pop(x).alias("_std")).where("_med is not null")
+    w = Window.partitionBy(*keys).orderBy(time)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    d = events.withColumn("_f", F.coalesce(F.last(x, True).over(back), F.first(x, True).over(ahead))).withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
+    d = d.withColumn("_step", F.abs(F.col("_f") - F.lag("_f").over(w))).join(ref, reference_keys or keys, "left")
+    scale = F.when(F.col("_std") > 0, F.col("_std")).otherwise(1e-6)
+    d = d.withColumn("_dev", (F.col("_f") - F.col("_med")) / scale)
+    s = d.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.count(x).alias("seen"), F.max("_step").alias("step"), F.avg((F.col("_f") == 0).cast("double")).alias("zeros"), (F.stddev_pop("_f") / F.first(scale)).alias("ratio"), F.regr_slope("_dev", "_i").alias("slope"),
+        F.corr("_i", "_dev").alias("line"), F.avg("_dev").alias("shift"), F.max(F.abs("_dev")).alias("far"), F.percentile(F.abs("_dev"), 0.99).alias("q99"), F.avg((F.col("_f") >= F.col("_q98")).cast("double")).alias("pressed"), F.first("_med").alias("_med"),
+    )
+    n = F.col("rows")
+    no = F.lit(False)
+    yes = lambda c: F.coalesce(c, no)
     kind = (
-        F.when(F.col("seen") == 0, "dropout").when(F.col("seen") < F.col("rows") * 0.5, "dropout").when((F.col("seen") >= 3) & (F.col("high") == F.col("low")), "stuck").when(F.col("seen") <= 2, "spike")
-        .when(F.abs("trend") > 0.8, "drift").when(F.col("deviation") > 0, "noise").otherwise("complex")
+        F.when(F.col("_med").isNull(), "unknown").when(F.col("seen") < 0.5 * n, "dropout").when(n < 3, "spike").when(yes(F.col("step") < 1e-8) & (n >= 6), "stuck").when(yes(F.col("zeros") > 0.9), "dropout")
+        .when((n >= 6) & yes(F.abs("slope") * n > 3) & yes(F.abs("line") > 0.85), "drift").when(yes(F.col("ratio") > 3.0), "noise_burst").when(yes(F.col("ratio") < 0.4) & (n >= 12), "scale_error")
+        .when(yes(F.abs("shift") > 1.5) & yes(F.col("ratio") < 1.5), "bias").when(yes(F.col("far") > 4) & (n <= 6), "spike").when(yes(F.col("q99") > 3), "spike").when(yes(F.col("pressed") > 0.8) & yes(F.col("ratio") < 0.6), "clipping")
+        .otherwise("complex")
     )
-    return s.withColumn("fault", kind)
+    return s.select(*keys, "rows", "seen", kind.alias("fault"))

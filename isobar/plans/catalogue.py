@@ -241,21 +241,37 @@ def signal_evidence(t: Tables) -> DataFrame:
 # --- sequence features and the hourly path ------------------------------------------------------------------------------
 
 
-@query("pattern_features", f"""with {HOURS}, a as (select *, coalesce(us - lag(us) over (partition by g order by us) = {H}, false) as adj from ev), b as (select *, sum(case when adj then 0 else 1 end) over (partition by g order by us) as run from a),
- c as (select g, us, v, v - lag(v, 1) over r as d1, v - lag(v, 5) over r as d5, case when count(v) over f5 >= 2 then avg(v) over f5 end as m5, case when count(v) over f5 >= 2 then stddev_pop(v) over f5 end as s5, count(v) over f5 / 5.0::double as c5
- from b window r as (partition by g, run order by us), f5 as (partition by g, run order by us rows between 5 preceding and 1 preceding))
- select g, us, round(d1, 6) as v__delta1, round(d5, 6) as v__delta5, round(m5, 6) as v__mean5, round(s5, 6) as v__std5, round((v - m5) / greatest(s5, 0.1::double), 4) as v__z5, round(c5, 6) as v__coverage5 from c""")
+_PAT_RUNS = f"""{HOURS}, adj as (select *, coalesce(us - lag(us) over (partition by g order by us) = {H}, false) as near from ev), runs as (select *, sum(case when near then 0 else 1 end) over (partition by g order by us) as run from adj),
+ same as (select *, coalesce(v = lag(v) over (partition by g, run order by us), false) as eq from runs), held as (select *, sum(case when eq and coalesce(lag_eq, false) then 0 else 1 end) over (partition by g, run order by us) as hr from (select *, lag(eq) over (partition by g, run order by us) as lag_eq from same))"""
+_PAT_DELTAS, _PAT_WINDOWS = (1, 5, 15, 60, 120), (5, 30, 120)
+_PAT_STATS = ", ".join(f"case when count(v) over f{k} >= {max(2, k // 2)} then avg(v) over f{k} end as m{k}, case when count(v) over f{k} >= {max(2, k // 2)} then stddev_pop(v) over f{k} end as s{k}, count(v) over f{k} / {k}.0::double as c{k}" for k in _PAT_WINDOWS)
+_PAT_FRAMES = ", ".join(f"f{k} as (partition by g, run order by us rows between {k} preceding and 1 preceding)" for k in _PAT_WINDOWS)
+_PAT_NAMES = [*[f"v__delta{k}" for k in _PAT_DELTAS], *[f"v__{n}{k}" for k in _PAT_WINDOWS for n in ("mean", "std", "deviation", "coverage")], "v__mean_shift", "v__range_excess"]
+
+
+@query("pattern_features", f"""with {_PAT_RUNS}, w as (select g, us, v, {", ".join(f"v - lag(v, {k}) over r as d{k}" for k in _PAT_DELTAS)}, {_PAT_STATS}, case when eq then row_number() over (partition by g, run, hr order by us) else 0 end as rep
+ from held window r as (partition by g, run order by us), {_PAT_FRAMES})
+ select g, us, (v is null)::int::double as v__missing, round(greatest(20.0 - v, v - 80.0, 0.0::double), 6) as v__range_excess, {", ".join(f"round(d{k}, 6) as v__delta{k}" for k in _PAT_DELTAS)}, least(rep, 180) as v__repeat, 0::bigint as v__absent,
+ {", ".join(f"round(m{k}, 6) as v__mean{k}, round(s{k}, 6) as v__std{k}, round(v - m{k}, 6) as v__deviation{k}, round((v - m{k}) / greatest(s{k}, 0.1::double), 4) as v__z{k}, round(c{k}, 6) as v__coverage{k}" for k in _PAT_WINDOWS)},
+ round(s5 / greatest(s120, 0.1::double), 4) as v__variability, round(m5 - m120, 6) as v__mean_shift from w""")
 def pattern_features(t: Tables) -> DataFrame:
-    d = quality.pattern_features(t.hours(), "v", HOUR, ["g"], windows=(5,))
-    names = ["v__delta1", "v__delta5", "v__mean5", "v__std5", "v__coverage5"]
-    return r6(d.select("g", "us", *names, F.round("v__z5", 4).alias("v__z5")), *names)
+    d = quality.pattern_features(t.hours(), "v", HOUR, ["g"], bounds=(20.0, 80.0))
+    four = [F.round(c, 4).alias(c) for c in ("v__z5", "v__z30", "v__z120", "v__variability")]
+    return r6(d.select("g", "us", "v__missing", *_PAT_NAMES, "v__repeat", F.col("v__absent").cast("long").alias("v__absent"), *four), *_PAT_NAMES)
+
+
+@query("pattern_products", f"with {_PAT_RUNS}, w as (select g, us, (v - case when count(v) over f >= 15 then avg(v) over f end) / greatest(case when count(v) over f >= 15 then stddev_pop(v) over f end, 0.1::double) as a, (k - case when count(k) over f >= 15 then avg(k) over f end) / greatest(case when count(k) over f >= 15 then stddev_pop(k) over f end, 0.1::double) as b from held window f as (partition by g, run order by us rows between 30 preceding and 1 preceding)) select g, us, round(a * b, 4) as product from w")
+def pattern_products(t: Tables) -> DataFrame:
+    d = quality.pattern_features(t.hours().withColumn("k", F.col("k").cast("double")), "v", HOUR, ["g"], deltas=(), windows=(30,))
+    d = quality.pattern_features(d, "k", HOUR, ["g"], deltas=(), windows=(30,))
+    return d.select("g", "us", F.round(F.col("v__z30") * F.col("k__z30"), 4).alias("product"))
 
 
 @query("pattern_corr", f"""with {HOURS}, a as (select *, coalesce(us - lag(us) over (partition by g order by us) = {H}, false) as adj from ev), b as (select *, sum(case when adj then 0 else 1 end) over (partition by g order by us) as run from a),
  c as (select g, us, run, v - lag(v) over r as a, cast(k - lag(k) over r as double) as b from b window r as (partition by g, run order by us))
- select g, us, round(case when count(a + b) over f >= 5 and max(a) over f - min(a) over f > 1e-8 and max(b) over f - min(b) over f > 1e-8 then corr(a, b) over f end, 5) as corr from c window f as (partition by g, run order by us rows between 29 preceding and current row)""")
+ select g, us, round(case when count(a + b) over f >= 15 and max(a) over f - min(a) over f > 1e-8 and max(b) over f - min(b) over f > 1e-8 then corr(a, b) over f end, 5) as corr from c window f as (partition by g, run order by us rows between 29 preceding and current row)""")
 def pattern_corr(t: Tables) -> DataFrame:
-    d = quality.guarded_corr(t.hours().withColumn("k", F.col("k").cast("double")), "v", "k", HOUR, ["g"], least=5)
+    d = quality.guarded_corr(t.hours().withColumn("k", F.col("k").cast("double")), "v", "k", HOUR, ["g"])
     return d.select("g", "us", F.round("corr", 5).alias("corr"))
 
 
@@ -383,22 +399,36 @@ def feature_pruning(t: Tables) -> DataFrame:
     return out.select("feature", F.round("coverage", 6).alias("coverage"), F.round("deviation", 5).alias("deviation"), "kept")
 
 
-RFIT = """a as (select g, us, v, abs(v - lag(v) over (partition by g order by us)) as d, case when count(v) over f >= 8 then stddev_samp(v) over f end as s from ev window f as (partition by g order by us rows between 7 preceding and current row)),
- m as (select g, quantile_cont(v, 0.5) as med from ev group by 1), fit as (select a.g, any_value(med) as med, greatest(1.4826 * quantile_cont(abs(v - med), 0.5), quantile_cont(abs(v - med), 0.95) / 3, 0.001) as sigma, greatest(1.4826 * quantile_cont(d, 0.5), quantile_cont(d, 0.95) / 3, 0.001) as sigma_d, quantile_cont(s, 0.995) as std_hi, quantile_cont(s, 0.005) as stuck from a join m on a.g = m.g group by 1)"""
+RFIT = """a as (select g, us, v, abs(v - lag(v) over w) as d, case when count(v) over f >= 8 then stddev_samp(v) over f end as s, case when count(v) over l >= 24 then stddev_samp(v) over l end as long from ev window w as (partition by g order by us), f as (partition by g order by us rows between 7 preceding and current row), l as (partition by g order by us rows between 167 preceding and current row)),
+ m as (select g, quantile_cont(v, 0.5) as med from ev group by 1), q as (select a.g, any_value(med) as med, quantile_cont(abs(v - med), 0.5) as mad, quantile_cont(abs(v - med), 0.95) as q95, quantile_cont(d, 0.5) as md, quantile_cont(s, 0.005) as lo, quantile_cont(s, 0.995) as hi, quantile_cont(long, 0.5) as usual from a join m on a.g = m.g group by 1),
+ p as (select g, med, mad, greatest(1.4826 * mad, q95 / 3, 0.25) as sigma, greatest(1.4826 * md, 0.001) as sd, lo, hi, usual from q),
+ fit as (select g, med, sigma, greatest(sd, 0.25 * sigma, 0.125) as sigma_d, greatest(hi, 0.125 * 1.4826 * mad, 0.5 * sd, 1e-6) as std_hi, greatest(0.5 * greatest(lo, 1e-9), 1e-9) as stuck, greatest(usual, 1e-6) as std_long from p)"""
 
 
-@query("robust_fit_params", f"with {HOURS}, {RFIT} select g, round(med, 5) as med, round(sigma, 5) as sigma, round(sigma_d, 5) as sigma_d, round(std_hi, 5) as std_hi, round(stuck, 5) as stuck from fit")
+@query("robust_fit_params", f"with {HOURS}, {RFIT} select g, {', '.join(f'round({c}, 5) as {c}' for c in ('med', 'sigma', 'sigma_d', 'std_hi', 'stuck', 'std_long'))} from fit")
 def robust_fit_params(t: Tables) -> DataFrame:
     d = quality.robust_fit(t.hours(), "v", ["g"])
-    return d.select("g", *[F.round(c, 5).alias(c) for c in ("med", "sigma", "sigma_d", "std_hi", "stuck")])
+    return d.select("g", *[F.round(c, 5).alias(c) for c in ("med", "sigma", "sigma_d", "std_hi", "stuck", "std_long")])
 
 
-@query("robust_channel_score", f"with {HOURS}, {RFIT}, j as (select a.*, med, sigma, sigma_d, std_hi, stuck, coalesce(s <= stuck * 1.0, false) as h from a join fit on a.g = fit.g), k as (select *, sum(case when h and p then 0 else 1 end) over (partition by g order by us) as r from (select *, coalesce(lag(h) over (partition by g order by us), false) as p from j)), l as (select *, case when h then row_number() over (partition by g, r order by us) else 0 end as run from k) select g, us, round(greatest(abs(v - med) / sigma, d / sigma_d, case when run > 0 then 3 + 4 * least(run / 48.0, 1.0) end, greatest(0.0, s / nullif(std_hi, 0) - 1.25), 0.0), 4) as v__robust from l")
+@query("robust_channel_score", f"""with {HOURS}, {RFIT}, j as (select a.*, med, sigma, sigma_d, std_hi, stuck, std_long, coalesce(s <= stuck, false) as h, row_number() over (partition by a.g order by us) as i, case when count(v) over (partition by a.g order by us rows between 23 preceding and current row) >= 24 then max(v) over (partition by a.g order by us rows between 23 preceding and current row) end as top from a join fit on a.g = fit.g),
+ j2 as (select *, abs(top - lag(top) over (partition by g order by us)) as move, coalesce(lag(h) over (partition by g order by us), false) as p from j),
+ k as (select *, sum(case when h and p then 0 else 1 end) over (partition by g order by us) as r, case when count(move) over (partition by g order by us rows between 5 preceding and current row) >= 6 then max(move) over (partition by g order by us rows between 5 preceding and current row) end <= 1e-9 + 1e-3 * sigma as stale from j2),
+ l as (select *, case when h then row_number() over (partition by g, r order by us) else 0 end as run, coalesce(top - v <= 1e-9 + 1e-3 * sigma and stale and s > stuck, false)::int::double as pin from k),
+ n as (select *, case when count(pin) over c >= 8 then avg(pin) over c else 0 end as share, case when i >= 24 then long / std_long end as ratio from l window c as (partition by g order by us rows between 23 preceding and current row))
+ select g, us, round(greatest(abs(v - med) / sigma, coalesce(d / sigma_d, 0), case when run > 0 then 3 + 4 * least(run / 48.0, 1.0) else 0 end, coalesce(greatest(0.0, s / std_hi - 1.25), 0), greatest((share - 0.20) / 0.15, 0) * 2.0, coalesce(case when ratio is not null then greatest(greatest(ratio, 1.0 / greatest(ratio, 1e-9)) - 1.30, 0) * 1.5 end, 0)), 4) as v__robust from n""")
 def robust_channel_score(t: Tables) -> DataFrame:
     d = t.hours()
     return quality.robust_channel_score(d, quality.robust_fit(d, "v", ["g"]), "v", ["g"]).select("g", "us", F.round("v__robust", 4).alias("v__robust"))
 
 
+@query("pooled_parameters", f"with {HOURS}, {RFIT}, o as (select * from fit where g <> 'click'), pool as (select quantile_cont(med, 0.5) as med, quantile_cont(sigma, 0.5) as sigma, quantile_cont(std_long, 0.5) as std_long from o), gs as (select distinct g from ev) select gs.g, round(coalesce(o.med, pool.med), 5) as med, round(coalesce(o.sigma, pool.sigma), 5) as sigma, round(coalesce(o.std_long, pool.std_long), 5) as std_long, o.g is not null as own from gs left join o on gs.g = o.g cross join pool")
+def pooled_parameters(t: Tables) -> DataFrame:
+    d = t.hours()
+    out = quality.pooled_fallback(d, quality.robust_fit(d.where("g <> 'click'"), "v", ["g"]), ["g"])
+    return out.select("g", *[F.round(c, 5).alias(c) for c in ("med", "sigma", "std_long")], "own")
+
+
 _EW = 1 - 0.5 ** (1 / 3)
 
 
@@ -478,13 +508,10 @@ def threshold_sweep_f1(t: Tables) -> DataFrame:
     return r6(evaluate.threshold_sweep(t.labels()), "f1")
 
 
-@query("background_capped_threshold", f"with {LABELS}, gr as (select unnest([1000.0, 3000.0, 6000.0, 9000.0, 12000.0])::double as threshold), c as (select threshold, count(*) filter (score >= threshold and y = 1) as tp, count(*) filter (score >= threshold and y = 0) as fp, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from lab, gr where y is not null group by 1), d as (select threshold, fp, neg, case when tp + fp + pos > 0 then 2.0::double * tp / (tp + fp + pos) else 0 end as f1, case when pos > 0 then tp / pos::double else 0 end as recall from c) select threshold, round(f1, 6) as f1, round(recall, 6) as recall from d where fp <= 0.1 * neg order by d.f1 desc, d.recall desc, threshold limit 1")
+@query("background_capped_threshold", f"""with {LABELS}, kn as (select score, y from lab where y is not null), lim as (select min(score) as lo, max(score) as hi from kn), gr as (select lo + (hi - lo) * (i / 100.0::double) as threshold from lim, range(5, 100) t(i) union select unnest(quantile_cont(score, [0.95, 0.98, 0.99, 0.995, 0.999])) from kn union select 'infinity'::double),
+ c as (select threshold, count(*) filter (score >= threshold and y = 1) as tp, count(*) filter (score >= threshold and y = 0) as fp, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from kn, gr group by 1), d as (select threshold, fp, neg, case when tp + fp + pos > 0 then 2.0::double * tp / (tp + fp + pos) else 0 end as f1, case when pos > 0 then tp / pos::double else 0 end as recall from c)
+ select round(threshold, 6) as threshold, round(f1, 6) as f1, round(recall, 6) as recall from d where fp <= 0.02::double * neg order by d.f1 desc, d.recall desc, d.threshold limit 1""")
 def background_capped_threshold(t: Tables) -> DataFrame:
-    return r6(evaluate.background_capped_threshold(t.labels(), [1000.0, 3000.0, 6000.0, 9000.0, 12000.0], cap=0.1, quantiles=(), no_alarm=False), "f1", "recall")  # the SQL's candidates
-
-
-@query("background_capped_threshold_full")
-def background_capped_threshold_full(t: Tables) -> DataFrame:
     return r6(evaluate.background_capped_threshold(t.labels()), "threshold", "f1", "recall")
 
 
@@ -551,7 +578,11 @@ def station_health(t: Tables) -> DataFrame:
     return r6(network.station_health(d, ["g"]).select("g", "rows", "scored", "alerts", "rate", "early", "late", "health", "trend"), "rate", "early", "late")
 
 
-@query("maintenance_advisory")
+@query("maintenance_advisory", f"""with {DEC}, d as (select dec.*, sig.v from dec join sig using (g, us)), b as (select g, min(us) as a, max(us) as b from d group by 1), x as (select d.*, a, b, us < a + (b - a) / 2.0 as early from d join b using (g)),
+ r as (select g, count(*) as rows, count(alert) as scored, count(*) filter (alert) as alerts, count(*) filter (alert) / nullif(count(alert), 0)::double as rate, count(*) filter (alert and early) / nullif(count(alert) filter (early), 0)::double as early, count(*) filter (alert and not early) / nullif(count(alert) filter (not early), 0)::double as late, count(*) filter (v is null) / count(*)::double as missing, (max(b) - max(a)) / 60e6 as span from x group by 1),
+ s as (select *, case when rate is null then 'unknown' when rate <= 0.02 then 'healthy' when rate <= 0.08 then 'watch' when rate <= 0.25 then 'degraded' else 'critical' end as health, case when early is null or late is null then 'unknown' when late > early * 1.5 + 0.005 then 'worsening' when early > late * 1.5 + 0.005 then 'improving' else 'stable' end as trend, coalesce(least(early, late) > 0.02, false) as persistent from r)
+ select g, health, trend, case when not (scored >= 30 and span >= 60) then case when rows > 0 and scored = 0 then 'insufficient_history:check_feed_now' when alerts > 0 then 'insufficient_history:review_candidates' else 'insufficient_history:collect_more_history' end when scored / rows::double < 0.5 or missing > 0.25 then 'insufficient_coverage:check_feed_now' when trend = 'worsening' then 'rising:review_now'
+  when persistent or health in ('degraded', 'critical') then case when persistent then 'persistent' else 'elevated' end || case when health = 'critical' then ':review_now' else ':next_service' end when alerts > 0 then 'isolated:next_service' else 'low:routine_observation' end as advisory from s""")
 def maintenance_advisory(t: Tables) -> DataFrame:
     d = _decisions(t).join(t.hours().select("g", "us", "v"), ["g", "us"])
     return network.station_health(d, ["g"]).select("g", "health", "trend", "advisory")
@@ -613,12 +644,18 @@ def correction_proposals(t: Tables) -> DataFrame:
     return r6(network.correction_proposals(t.users(), "kind", "v", tie="id"), "proposal", "deviation")
 
 
-@query("correction_fusion", f"with {SIG}, x as (select g, us, v - forecast_residual as a, v - hour_residual as b from sig) select g, us, round((coalesce(a, 0) * case when a is null then 0 else 0.25 end + coalesce(b, 0) * case when b is null then 0 else 0.04 end) / nullif(case when a is null then 0 else 0.25 end + case when b is null then 0 else 0.04 end, 0), 5) as corrected, round(1 / (1 + sqrt(1 / nullif(case when a is null then 0 else 0.25 end + case when b is null then 0 else 0.04 end, 0))), 5) as confidence from x")
+@query("correction_fusion", f"""with {HOURS}, c as (select g, hour(make_timestamp(us)) as h, quantile_cont(v, 0.5) as normal from ev group by 1, 2), r as (select ev.g, ev.us, v, normal, case when k % 10 <> 0 then v - normal end as resid, first_value(v) over (partition by ev.g order by ev.us range between {24 * HOUR} preceding and {24 * HOUR} preceding) as far from ev join c on ev.g = c.g and hour(make_timestamp(us)) = c.h),
+ f as (select *, coalesce(last_value(resid ignore nulls) over (partition by g order by us rows between unbounded preceding and current row), 0) as keep, row_number() over (partition by g order by us) - 1 as i from r),
+ w as (select *, normal + keep * exp(-i / 12.0) as e1, 1 / (4.0 + keep * keep * 0.05) as w1, case when far is null then 0 else 1 / 25.0 end as w2 from f)
+ select g, us, round((e1 * w1 + coalesce(far, 0) * w2) / (w1 + w2), 5) as corrected, round(least(greatest(1.5 / (1 + sqrt(1 / (w1 + w2))), 0), 1), 5) as confidence from w""")
 def correction_fusion(t: Tables) -> DataFrame:
-    d = detect.compute_signals(t.hours(), SPEC)
-    a, b = F.col("v") - F.col("v__forecast_residual"), F.col("v") - F.col("v__hour_residual")
-    mean, sure = network.fuse_corrections([(a, F.lit(2.0)), (b, F.lit(5.0))])
-    return d.select("g", "us", F.round(mean, 5).alias("corrected"), F.round(sure, 5).alias("confidence"))
+    d = t.hours()
+    hour = F.hour(F.timestamp_micros("us"))
+    normal = d.groupBy("g", hour.alias("_h")).agg(F.percentile("v", 0.5).alias("normal"))
+    d = d.withColumn("far", seq.exact_lag("v", 24 * HOUR, ["g"])).withColumn("_h", hour).join(normal, ["g", "_h"])
+    d = d.withColumn("resid", F.when(F.col("k") % 10 != 0, F.col("v") - F.col("normal")))
+    out = network.corrected_series(d, ["g"], "normal", "resid", 2.0, [(F.col("far"), 5.0)])
+    return out.select("g", "us", F.round("corrected", 5).alias("corrected"), F.round("confidence", 5).alias("confidence"))
 
 
 for _kind, _sql in (
@@ -700,7 +737,7 @@ def pot_threshold(t: Tables) -> DataFrame:
 def isolation_forest(t: Tables) -> DataFrame:
     from isobar.operators import models
 
-    return r6(models.isolation_scores(t.users(), ["v", "k"], "id", trees=50), "score")
+    return r6(models.isolation_scores(t.users(), ["v", "k"], "id", trees=300, sample=65_536, sample_rows=200_000), "score")
 
 
 @query("gbt_forecast")
@@ -710,7 +747,7 @@ def gbt_forecast(t: Tables) -> DataFrame:
     d = detect.exact_lag_features(t.hours(), SPEC, 1)
     features = ["v__h1_lag0", "v__h1_lag1", "v__h1_lag3", "v__h1_diff1"]
     cut = d.agg(F.percentile("us", 0.7)).first()[0]
-    out, chosen = models.boosted_forecast(d.where(F.col("us") < cut), d.where(F.col("us") >= cut), features, "v", "v__h1_lag0", iterations=5)
+    out, chosen = models.boosted_forecast(d.where(F.col("us") < cut), d.where(F.col("us") >= cut), features, "v", "v__h1_lag0", iterations=100)
     return r6(out.select("g", "us", "v", "forecast", F.lit(chosen).alias("model")), "v", "forecast")
 
 
@@ -739,13 +776,6 @@ def fault_injection(t: Tables) -> DataFrame:
     return r6(models.inject_faults(t.users(), ["kind"], "v", rate=0.1).select("kind", "id", "fault", "injected", "modified"), "injected")
 
 
-@query("rule_fault_type")
-def rule_fault_type(t: Tables) -> DataFrame:
-    from isobar.operators import models
-
-    return models.classify_event(t.users().withColumn("day", F.floor(F.col("us") / DAY)), ["kind", "day"], "v").select("kind", "day", "rows", "seen", "fault")
-
-
 # --- explanations and reports -------------------------------------------------------------------------------------------
 
 
@@ -783,19 +813,25 @@ def scenario_partition(t: Tables) -> DataFrame:
     return d.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_shipdate").alias("ts"), report.scenario_partition(F.col("l_returnflag"), F.col("l_shipdate"), ["R"]).alias("part"))
 
 
-@query("health_trend")
+_EW72 = 1 - 0.5 ** (1 / 72.0)
+
+
+@query("health_trend", f"""with {SIG}, l as (select g, us, list(coalesce(forecast_residual, 0)) over (partition by g order by us rows between unbounded preceding and current row) as xs from sig), e as (select g, us, 100 * exp(-greatest(list_reduce(xs, lambda a, x: {_EW72!r}::double * x + {1 - _EW72!r}::double * a) / 20.0 - 1, 0)) as h from l),
+ d as (select g, us // {DAY} as day, avg(h) as h from e group by 1, 2), r as (select *, max(day) over (partition by g) as last from d), k as (select g, arg_max(h, day) as health, regr_slope(h, day) as slope, count(*) as days from r where day > last - 7 group by 1)
+ select g, round(health, 6) as health, round(slope, 6) + 0.0::double as slope, days, round(case when slope < -1e-6 and days >= 2 then greatest((health - 50.0) / -slope, 0) end, 4) as days_left from k""")
 def health_trend(t: Tables) -> DataFrame:
     from isobar.operators import report
 
     d = detect.compute_signals(t.hours(), SPEC).select("g", "us", F.col("v__forecast_residual").alias("score"))
-    return r6(report.health_trend(d, "g", "score", 20.0), "health", "slope", "days_left")
+    out = r6(report.health_trend(d, "g", "score", 20.0), "health", "slope", "days_left")
+    return out.withColumn("days_left", F.round("days_left", 4))
 
 
 @query("paired_block_bootstrap")
 def paired_block_bootstrap(t: Tables) -> DataFrame:
     from isobar.operators import report
 
-    return r6(report.block_bootstrap(detect.compute_signals(t.hours(), SPEC), "v__forecast_residual", "v__hour_residual", draws=200), "mean", "low", "high")
+    return r6(report.block_bootstrap(detect.compute_signals(t.hours(), SPEC), "v__forecast_residual", "v__hour_residual"), "mean", "low", "high")
 
 
 @query("series_features", f"with {HOURS} select g, us, round(v - lag(v) over w, 6) as d1, round(case when count(v) over f >= 4 then stddev_samp(v) over f end, 6) as std48, round(case when count(v) over f >= 4 then quantile_cont(v, 0.5) over f end, 6) as median48, round(case when count(v) over f >= 4 then avg(v) over f end, 6) as mean48 from ev window w as (partition by g order by us), f as (partition by g order by us rows between 47 preceding and current row)")

@@ -6,11 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from isobar.plans import catalogue
-from isobar.streaming import replay
+from isobar.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.QUERIES | replay.QUERIES, catalogue.ORACLES | replay.ORACLES
 
 
 @pytest.fixture(scope="module")
