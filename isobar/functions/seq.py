@@ -46,6 +46,16 @@ def guarded(agg: Column, x: str, frame: WindowSpec, least: int) -> Column:
     return F.when(F.count(x).over(frame) >= least, agg.over(frame))
 
 
+def slope(y: Column, x: Column) -> Column:
+    """Least-squares slope as an aggregate; NULL where x does not vary (the built-in one divides by zero under ANSI rules)."""
+    return F.covar_pop(y, x) / F.nullif(F.var_pop(F.when(y.isNotNull(), x)), F.lit(0.0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation as an aggregate; NULL where either side does not vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)), F.lit(0.0))
+
+
 def flatline(df: DataFrame, x: str, cadence: int, keys: list[str], out: str, time: str = "us", accepted: str | None = None) -> DataFrame:
     """Steps that a value has stood still: 0 after a change, gap or missing value, NULL where missing.
 

@@ -32,12 +32,13 @@ def forecast_candidates(train: DataFrame, rows: DataFrame, features: list[str],
     from pyspark.ml.regression import GBTRegressor
 
     ready = VectorAssembler(inputCols=features, outputCol="_x")
-    fit = ready.transform(train.dropna(subset=[*features, actual, baseline]).withColumn("_change", F.col(actual) - F.col(baseline)))
+    fit = ready.transform(train.dropna(subset=[*features, actual, baseline]).withColumn("_change", F.col(actual) - F.col(baseline))).persist()
     median = fit.agg(F.percentile("_change", 0.5)).first()[0] or 0.0
     out = ready.transform(rows.dropna(subset=[*features, baseline]))
     for label, name in ((actual, "level"), ("_change", "_residual")):
         model = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol=name, lossType="absolute", maxIter=iterations, maxDepth=4, stepSize=0.1, seed=7).fit(fit)
         out = model.transform(out)
+    fit.unpersist()
     out = out.withColumn("persistence", F.col(baseline)).withColumn("seasonal", F.col(seasonal)).withColumn("median_change", F.col(baseline) + median)
     return out.withColumn("residual", F.col(baseline) + F.col("_residual")).withColumn("residual_shrunk", F.col(baseline) + shrink * F.col("_residual")).drop("_x", "_residual")
 
@@ -163,12 +164,14 @@ class PatternModel:
         weight = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, math.sqrt(total / n))])
         rows = self._ready(df.where(F.col(self.label).isNotNull())).withColumn("_w", F.element_at(weight, F.col(self.label)))
         changed = F.col(self.label) != self.background
+        rows = rows.select(self.label, "_x", "_w").persist()  # read once for each tree
         if self.family == "two_head":
             self.models = [self._boost(rows, changed), self._forest(rows.where(changed), self.classes[1:])]
         elif self.family == "boosted":
             self.models = [self._boost(rows, F.col(self.label) == c) for c in self.classes]
         else:
             self.models = [self._forest(rows, self.classes)]
+        rows.unpersist()
         return self
 
     def _apply(self, model, df: DataFrame, out: str) -> DataFrame:
@@ -211,25 +214,30 @@ def choose_family(fit: DataFrame, selection: DataFrame, features: list[str], lab
     from isobar.operators import evaluate
 
     trials, best = [], None
+    fit, selection = fit.select(label, *features).persist(), selection.select(label, *features).persist()
     for family in families:
         model = PatternModel(features, label, background, family, **params).fit(fit)
-        d = model.predict(selection).withColumn("_changed", (F.col(label) != background).cast("int"))
+        d = model.predict(selection).withColumn("_changed", (F.col(label) != background).cast("int")).select(label, "risk", "pattern", "_changed").persist()
         ap = evaluate.average_precision(d, "_changed", "risk").first()[0] or 0.0
         f1 = macro_f1(d, label, "pattern", model.classes[1:]).first()[0] or 0.0
         trials.append({"family": family, "average_precision": ap, "macro_f1": f1, "objective": 0.6 * ap + 0.4 * f1})
+        d.unpersist()
         if best is None or trials[-1]["objective"] > best[0]:
             best = (trials[-1]["objective"], model)
+    fit.unpersist()
+    selection.unpersist()
     return best[1], trials
 
 
 def permutation_importance(df: DataFrame, features: list[str], score, rows: int = 20_000, seed: int = 0) -> list[dict]:
     """How much score(DataFrame) falls when one feature's values are dealt anew among at most `rows` rows (those of the smallest hash)."""
     sample = df.withColumn("_h", F.xxhash64(F.lit(seed), *features)).orderBy("_h").limit(rows)
-    base = sample.withColumn("_i", F.row_number().over(Window.orderBy("_h", *features)))
+    base = sample.withColumn("_i", F.row_number().over(Window.orderBy("_h", *features))).persist()
     whole, out = score(base), []
     for c in features:
         other = base.select(F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), F.lit(c), "_i"), "_i")).alias("_i"), F.col(c).alias("_other"))
         out.append({"feature": c, "importance": whole - score(base.drop(c).join(other, "_i").withColumnRenamed("_other", c))})
+    base.unpersist()
     return sorted(out, key=lambda r: (-r["importance"], r["feature"]))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobar.functions import seq
+
 
 def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     """(shape, scale) of the generalised Pareto distribution by the profile likelihood of theta = shape / scale."""
@@ -135,8 +137,9 @@ def boosted_forecast(train: DataFrame, test: DataFrame, features: list[str], act
     from pyspark.ml.regression import GBTRegressor
 
     ready = lambda d: VectorAssembler(inputCols=features, outputCol="_x").transform(d.dropna(subset=[*features, actual, baseline])).withColumn("_y", F.col(actual) - F.col(baseline))
-    model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", lossType="absolute", maxIter=iterations, maxDepth=4, stepSize=0.1, seed=7).fit(ready(train))
-    seen = model.transform(ready(train)).agg(F.avg(F.abs(F.col("_y") - F.col("_p"))).alias("m"), F.avg(F.abs("_y")).alias("b")).first()
+    model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", lossType="absolute", maxIter=iterations, maxDepth=4, stepSize=0.1, seed=7).fit(fit := ready(train).persist())
+    seen = model.transform(fit).agg(F.avg(F.abs(F.col("_y") - F.col("_p"))).alias("m"), F.avg(F.abs("_y")).alias("b")).first()
+    fit.unpersist()
     out = model.transform(ready(test))
     chosen = "boosted" if seen["m"] < seen["b"] else "persistence"
     return out.withColumn("forecast", F.col(baseline) + (F.col("_p") if chosen == "boosted" else F.lit(0.0))).drop("_x", "_y", "_p"), chosen
@@ -183,17 +186,18 @@ def group_bootstrap(df: DataFrame, group: str, y: str, p: str, draws: int = 500,
     return f.agg(F.avg("f1").alias("mean_f1"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"), F.count("*").alias("draws"))
 
 
-def inject_faults(df: DataFrame, keys: list[str], x: str, rate: float = 0.02, length: int = 12, seed: int = 0, time: str = "us") -> DataFrame:
-    """Deterministic faults (spike, drift, stuck, dropout, noise) on hashed blocks of `length` rows; missing values stay missing.
+def inject_faults(df: DataFrame, keys: list[str], x: str, rate: float = 0.02, length: int = 12, seed: int = 0, time: str = "us", swap: str | None = None) -> DataFrame:
+    """Deterministic faults on hashed blocks of `length` rows: spike, bias, drift, stuck, dropout, noise, clipping and scale error, and
+    with `swap` another column's shape in this one's units. Missing values stay missing.
 
-    Adds `injected` (the new value), `fault` and `modified`.
+    Adds `injected` (the new value), `fault`, `block` and `modified`.
     """
     w = Window.partitionBy(*keys).orderBy(time)
     d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / length))
     u = F.pmod(F.xxhash64(F.lit(seed), *keys, "_b"), F.lit(1_000_003)) / 1_000_003.0
-    kinds = ["spike", "drift", "stuck", "dropout", "noise"]
+    kinds = ["spike", "drift", "stuck", "dropout", "noise", "bias", "clipping", "scale_error", *(["sensor_swap"] if swap else [])]
     pick = F.array(*map(F.lit, kinds))[F.pmod(F.xxhash64(F.lit(seed + 1), *keys, "_b"), F.lit(len(kinds))).cast("int")]
-    scale = df.groupBy(*keys).agg(F.greatest(F.stddev_samp(x), F.lit(1e-3)).alias("_s"))
+    scale = df.groupBy(*keys).agg(F.greatest(F.stddev_samp(x), F.lit(1e-3)).alias("_s"), F.avg(x).alias("_m"), F.percentile(x, 0.65).alias("_top"), *([F.avg(swap).alias("_om"), F.greatest(F.stddev_samp(swap), F.lit(1e-9)).alias("_os")] if swap else []))
     d = d.withColumn("fault", F.when(u < rate, pick)).join(scale, keys)
     block = Window.partitionBy(*keys, "_b").orderBy(time)
     first = F.first(x, True).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -201,9 +205,26 @@ def inject_faults(df: DataFrame, keys: list[str], x: str, rate: float = 0.02, le
     wiggle = F.pmod(F.xxhash64(F.lit(seed + 2), *keys, "_i"), F.lit(2001)) / 1000.0 - 1
     new = (
         F.when((F.col("fault") == "spike") & (F.col("_i") % length == 0), F.col(x) + 6 * F.col("_s")).when(F.col("fault") == "drift", F.col(x) + 4 * F.col("_s") * place)
-        .when((F.col("fault") == "stuck") & F.col(x).isNotNull(), first).when(F.col("fault") == "dropout", None).when(F.col("fault") == "noise", F.col(x) + 2 * F.col("_s") * wiggle).otherwise(F.col(x))
+        .when((F.col("fault") == "stuck") & F.col(x).isNotNull(), first).when(F.col("fault") == "dropout", None).when(F.col("fault") == "noise", F.col(x) + 2 * F.col("_s") * wiggle)
+        .when(F.col("fault") == "bias", F.col(x) + 3 * F.col("_s")).when((F.col("fault") == "clipping") & F.col(x).isNotNull(), F.least(F.col(x), F.col("_top"))).when(F.col("fault") == "scale_error", F.col("_m") + (F.col(x) - F.col("_m")) * 0.4)
+        .when((F.col("fault") == "sensor_swap") & F.col(x).isNotNull(), F.coalesce((F.col(swap) - F.col("_om")) / F.col("_os") * F.col("_s") + F.col("_m"), F.col(x)) if swap else F.col(x)).otherwise(F.col(x))
     )
-    return d.withColumn("injected", new).withColumn("modified", ~F.col("injected").eqNullSafe(F.col(x))).drop("_i", "_b", "_s")
+    return d.withColumn("injected", new).withColumn("modified", ~F.col("injected").eqNullSafe(F.col(x))).withColumnRenamed("_b", "block").drop("_i", "_s", "_m", "_top", "_om", "_os")
+
+
+def injection_log(df: DataFrame, keys: list[str], time: str = "us") -> DataFrame:
+    """One row per injected block that changed something: fault, first and last changed time, changed rows."""
+    return df.where("modified").groupBy(*keys, "block", "fault").agg(F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count("*").alias("rows"))
+
+
+def injection_report(clean: DataFrame, injected: DataFrame, keys: list[str], alert: str = "alert", physical: str | None = None) -> DataFrame:
+    """Per fault: changed rows, the share that alerts, the share that alerts or breaks a physical rule; and (fault NULL) the alert
+    rate of the untouched series."""
+    hit = F.coalesce(F.col(alert), F.lit(False))
+    both = hit | F.coalesce(F.col(physical), F.lit(False)) if physical else hit
+    per = injected.where("modified").groupBy("fault").agg(F.count("*").alias("rows"), F.avg(hit.cast("double")).alias("row_recall"), F.avg(both.cast("double")).alias("combined_recall"))
+    base = clean.agg(F.lit(None).cast("string").alias("fault"), F.count("*").alias("rows"), F.avg(hit.cast("double")).alias("row_recall"), F.avg(both.cast("double")).alias("combined_recall"))
+    return per.unionByName(base)
 
 
 def classify_event(events: DataFrame, reference: DataFrame, keys: list[str], x: str, time: str = "us", reference_keys: list[str] | None = None) -> DataFrame:
@@ -222,8 +243,8 @@ def classify_event(events: DataFrame, reference: DataFrame, keys: list[str], x:
     scale = F.when(F.col("_std") > 0, F.col("_std")).otherwise(1e-6)
     d = d.withColumn("_dev", (F.col("_f") - F.col("_med")) / scale)
     s = d.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.count(x).alias("seen"), F.max("_step").alias("step"), F.avg((F.col("_f") == 0).cast("double")).alias("zeros"), (F.stddev_pop("_f") / F.first(scale)).alias("ratio"), F.regr_slope("_dev", "_i").alias("slope"),
-        F.corr("_i", "_dev").alias("line"), F.avg("_dev").alias("shift"), F.max(F.abs("_dev")).alias("far"), F.percentile(F.abs("_dev"), 0.99).alias("q99"), F.avg((F.col("_f") >= F.col("_q98")).cast("double")).alias("pressed"), F.first("_med").alias("_med"),
+        F.count("*").alias("rows"), F.count(x).alias("seen"), F.max("_step").alias("step"), F.avg((F.col("_f") == 0).cast("double")).alias("zeros"), (F.stddev_pop("_f") / F.first(scale)).alias("ratio"), seq.slope(F.col("_dev"), F.col("_i")).alias("slope"),
+        seq.correlation(F.col("_i"), F.col("_dev")).alias("line"), F.avg("_dev").alias("shift"), F.max(F.abs("_dev")).alias("far"), F.percentile(F.abs("_dev"), 0.99).alias("q99"), F.avg((F.col("_f") >= F.col("_q98")).cast("double")).alias("pressed"), F.first("_med").alias("_med"),
     )
     n = F.col("rows")
     no = F.lit(False)

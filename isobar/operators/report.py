@@ -56,7 +56,7 @@ def health_trend(df: DataFrame, key: str, score: str, threshold: float, time: st
     daily = d.withColumn("_i", index).groupBy(key, F.floor(F.col(time) / 86_400_000_000).alias("day")).agg(F.avg("_i").alias("health"))
     last = F.max("day").over(Window.partitionBy(key))
     recent = daily.withColumn("_last", last).where(F.col("day") > F.col("_last") - days)
-    out = recent.groupBy(key).agg(F.max_by("health", "day").alias("health"), F.regr_slope(F.col("health"), F.col("day").cast("double")).alias("slope"), F.count("*").alias("days"))
+    out = recent.groupBy(key).agg(F.max_by("health", "day").alias("health"), seq.slope(F.col("health"), F.col("day").cast("double")).alias("slope"), F.count("*").alias("days"))
     return out.withColumn("days_left", F.when((F.col("slope") < -1e-6) & (F.col("days") >= 2), F.greatest((F.col("health") - floor) / -F.col("slope"), F.lit(0.0))))
 
 

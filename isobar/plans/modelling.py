@@ -159,6 +159,14 @@ def stacked_classifier(t: Tables) -> DataFrame:
     return r6(calibrate.supervised_decision(scored, limits, "g").select("doc_id", "g", "probability", "alert"), "probability")
 
 
+@query("injection_benchmark")
+def injection_benchmark(t: Tables) -> DataFrame:
+    d = models.inject_faults(t.hours(), ["g"], "v", rate=0.3, length=8, swap="n")
+    judge = lambda x: detect.wide_decisions(detect.compute_signals(x, SPEC), SPEC, _LIMITS).withColumn("beyond", (F.col("v") < 0) | (F.col("v") > 100))
+    out = models.injection_report(judge(t.hours()), judge(d.withColumn("v", F.col("injected"))), ["g"], physical="beyond")
+    return r6(out, "row_recall", "combined_recall")
+
+
 # --- live decisions ----------------------------------------------------------------------------------------------------------
 
 _LIMITS = {("v", "forecast_residual"): 60.0, ("v", "abrupt_change"): 60.0, ("v", "flatline"): 2.0}

@@ -201,13 +201,18 @@ def test_archive_round_trip(spark, tmp_path):
     assert readers.archive_window(back, "2024-02-01", "2024-02-01 00:01:00").count() == 1
 
 
-def test_gpd_and_pot():
+def test_gpd_and_pot(spark):
     rng = np.random.default_rng(0)
     shape, scale = models.gpd_fit(rng.pareto(5, 4000) * 5 * 0.2)
     assert abs(shape - 0.2) < 0.08 and abs(scale - 0.2) < 0.05
-    assert models.pot_threshold(np.ones(2000)) > 1.0
     x = rng.exponential(size=20_000)
-    assert abs(models.pot_threshold(x) - math.log(1000)) < 0.8
+    rows = [("tail", float(v)) for v in x] + [("same", 1.0)] * 2000 + [("few", float(i)) for i in range(100)]
+    got = {r.k: r for r in models.pot_by_group(spark.createDataFrame(rows, "k string, s double"), "k", "s").collect()}
+    assert abs(got["tail"].threshold - math.log(1000)) < 0.8 and got["tail"].exceedances == 400
+    assert got["same"].threshold == math.nextafter(1.0, 2.0) and got["few"].threshold == np.quantile(np.arange(100.0), 0.995)
+    whole = models.gpd_fit(np.sort(x)[np.sort(x) > np.quantile(x, 0.98)] - np.quantile(x, 0.98))
+    want = np.quantile(x, 0.98) + whole[1] / whole[0] * ((20_000 * 1e-3 / 400) ** -whole[0] - 1)
+    assert abs(got["tail"].threshold - want) < 1e-6  # summed in slices, as of the whole tail
 
 
 def test_isolation_forest_finds_outlier():
