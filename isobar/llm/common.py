@@ -25,9 +25,13 @@ _ROOTS: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this session under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a folder of our own is taken.
+    Only where that setting is missing and Spark runs in one process (tests), a folder of our own is taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     key = f"{spark.sparkContext.applicationId}|{base}"
     if key not in _ROOTS:
         _ROOTS[key] = f"{base.rstrip('/')}/isobar-{uuid.uuid4().hex}"
