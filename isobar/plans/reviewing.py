@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from isobar.functions import physics, seq
 from isobar.operators import detect, quality, reviews
-from isobar.plans.catalogue import DAY, DEC, HOUR, HOURS, LONG, PHYS, SIG, SPEC, THR, USERS, Tables, _decisions, _phys, query, r6
+from isobar.plans.catalogue import DAY, DEC, HOUR, HOURS, LONG, ORACLES, PHYS, SIG, SPEC, THR, USERS, Tables, _decisions, _phys, query, r6
+from isobar.sources import archive
 
 H = str(HOUR)
 RUNS = f"adj as (select *, coalesce(us - lag(us) over (partition by g order by us) = {H}, false) as near from ev), runs as (select *, sum(case when near then 0 else 1 end) over (partition by g order by us) as run from adj)"
@@ -195,3 +196,35 @@ def unscored_reasons(t: Tables) -> DataFrame:
     d = detect.compute_signals(t.hours(), SPEC)
     none = lambda s: F.count_if(F.col(f"v__{s}").isNull())
     return d.groupBy("g").agg(none("forecast_residual").alias("no_forecast"), none("abrupt_change").alias("after_gap"), none("sustained_deviation").alias("short_run"))
+
+
+# --- archives -------------------------------------------------------------------------------------------------------------------
+
+
+@query("flatline_by_shard", ORACLES["flatline_duration"])
+def flatline_by_shard(t: Tables) -> DataFrame:
+    return archive.flatline_by_shard(t.hours().select("g", "us", "k"), "k", HOUR, ["g"], 5 * HOUR).select("g", "us", "flat")
+
+
+@query("shard_context", f"with {USERS}, a as (select id, us, us // {DAY} * {DAY} as own, (us + {6 * HOUR}) // {DAY} * {DAY} as ahead from eu) select own as shard_us, false as is_context, count(*) as rows from a group by 1 union all select ahead, true, count(*) from a where ahead > own group by 1")
+def shard_context(t: Tables) -> DataFrame:
+    return archive.with_context(t.users(), DAY, 6 * HOUR).groupBy("shard_us", "is_context").agg(F.count("*").alias("rows"))
+
+
+@query("lags_by_shard", f"with {HOURS} select g, us, round(first_value(v) over (partition by g order by us range between {24 * HOUR} preceding and {24 * HOUR} preceding), 6) as day_before from ev")
+def lags_by_shard(t: Tables) -> DataFrame:
+    """Exact-time lags of a day inside shards of a week with a day of context."""
+    d = archive.with_context(t.hours(), 7 * DAY, DAY)
+    out = d.withColumn("day_before", seq.exact_lag("v", 24 * HOUR, ["g", "shard_us"]))
+    return r6(out.where("not is_context").select("g", "us", "day_before"), "day_before")
+
+
+@query("footer_catalog", "select count(*) as n, min(o_orderkey) as least, max(o_orderkey) as largest from orders")
+def footer_catalog(t: Tables) -> DataFrame:
+    one = archive.footer_catalog(t.spark, f"{t.sf_dir}/orders.parquet", "o_orderkey").first()
+    return t.spark.createDataFrame([tuple(one)], "n long, least long, largest long")
+
+
+@query("shard_manifest", f"with {USERS} select kind, count(*) as rows, count(*) filter (v is null) as v_missing, min(us) as first_us, max(us) as last_us from eu group by 1")
+def shard_manifest(t: Tables) -> DataFrame:
+    return archive.shard_manifest(t.users(), ["kind"], ["v"]).drop("fingerprint", "checksum")

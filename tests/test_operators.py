@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from isobar.functions import seq
 from isobar.operators import calibrate, detect, evaluate, models, network, quality, reviews, scenarios
 from isobar.operators.detect import ObservationSpec
-from isobar.sources import readers
+from isobar.sources import archive, readers
 
 MIN = 60_000_000
 
@@ -237,3 +237,44 @@ def test_readers_of_series_packets_and_receipts(spark, tmp_path):
     d = spark.createDataFrame([("s", "src", "2024-01-01 00:00:00", 1.0), ("", "src", "2024-01-01 00:00:00", 1.0), ("s", "a|b", "2024-01-01 00:00:30", float("nan"))], "station_id string, source string, ts string, t double").withColumn("ts", F.to_timestamp("ts"))
     admitted = readers.admit(d, ["t"]).collect()
     assert [r.reject_reason for r in admitted] == [None, "bad_station_id", "bad_source"] and admitted[2].t is None
+
+
+def test_flatline_over_shards(spark):
+    rng = random.Random(3)
+    x = [None if rng.random() < 0.05 else float(rng.random() < 0.15) for _ in range(400)] + [7.0] * 200
+    d = series(spark, x).where("us % 7 <> 1 or us > 24000000000")
+    want = seq.flatline(d, "v", MIN, ["g"], "flat").orderBy("us").select("us", "flat").collect()
+    for shard in (3, 10, 64, 1000):
+        assert archive.flatline_by_shard(d, "v", MIN, ["g"], shard * MIN).orderBy("us").select("us", "flat").collect() == want
+
+
+def test_footers_manifests_bundles_and_audits(spark, tmp_path):
+    d = series(spark, [1.0, None, 3.0]).unionByName(series(spark, [4.0], "b"))
+    d.write.partitionBy("g").parquet(f"file://{tmp_path}/t.parquet")
+    out = archive.footer_catalog(spark, f"file://{tmp_path}/t.parquet", "us", ["g"])
+    assert "PushedAggregation: [COUNT" in out._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 3, 0, 2 * MIN), ("b", 1, 0, 0)]
+    assert archive.inventory(spark, f"file://{tmp_path}/t.parquet").agg(F.sum("rows"), F.max("columns")).first()[:] == (4, 3)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "x.csv").write_text("a\n1\n")
+    (tmp_path / "m" / "y.csv").write_text("a\n2\n")
+    receipts = readers.file_receipts(spark, f"file://{tmp_path}/m")
+    sha = {r.path.rsplit("/", 1)[1]: r.sha256 for r in receipts.collect()}
+    manifest = spark.createDataFrame([("x.csv", sha["x.csv"].upper()), ("z.csv", "0" * 64), ("../y.csv", "0" * 64)], "name string, sha256 string")
+    got = {r.name: r.status for r in archive.check_manifest(manifest, receipts, f"file://{tmp_path}/m").collect()}
+    assert got == {"x.csv": "ok", "z.csv": "missing", "../y.csv": "escapes", "y.csv": "unlisted"}
+    import gzip
+
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as f:
+        f.write("k,v\na,1\n")
+    assert archive.read_bundle(spark, f"file://{tmp_path}", "b", "k string, v int").collect()[0].v == 1
+    assert archive.read_bundle(spark, f"file://{tmp_path}", "t").count() == 4
+    (tmp_path / "side.json").write_text('{"groups": ["a"],\n "n": 2}')
+    assert archive.read_side_file(spark, f"file://{tmp_path}/side.json").first().n == 2
+    raw = spark.createDataFrame([("s", "t1", "+0215,1"), ("s", "t1", "9999,9"), ("s", None, "x2,1"), ("s", "t2", None)], "station string, ts string, TMP string")
+    assert tuple(archive.audit(raw, ["station"], "ts", {"t": "TMP"}).first()) == ("s", 4, 1, 1, 1, 2, 1)
+    archive.write_csv(raw, f"file://{tmp_path}/out")
+    with pytest.raises(Exception, match="exists"):
+        archive.write_csv(raw, f"file://{tmp_path}/out")
+    a, b = archive.shard_manifest(d, ["g"], ["v"]), archive.shard_manifest(d.repartition(5), ["g"], ["v"])
+    assert sorted(a.collect()) == sorted(b.collect())
