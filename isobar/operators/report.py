@@ -96,3 +96,13 @@ class Dashboard:
         d = self.scored.where(F.col(self.keys[0]) == group)
         last = d.agg(F.max("us")).first()[0] or 0
         return network.station_health(d.where(F.col("us") > last - days * 86_400_000_000), self.keys)
+
+    def status(self) -> DataFrame:
+        """What a health check answers: groups, rows, scored rows, the last time."""
+        return self.scored.agg(F.count_distinct(*self.keys).alias("groups"), F.count("*").alias("rows"), F.count("alert").alias("scored"), F.max("us").alias("last_us"))
+
+    def scenario(self, group: str, kind: str, start: int, duration: int, magnitude: float) -> dict[str, DataFrame]:
+        """A deterministic scenario on a group's series: its rows, its chart points, and how many rows it changed."""
+        d = network.scenario(self.scored.where(F.col(self.keys[0]) == group), kind, "v", start, duration, magnitude, self.keys)
+        points = d.select("us", F.explode(F.array(F.struct(F.lit("original").alias("series"), F.col("v").alias("value")), F.struct(F.lit("scenario").alias("series"), F.col("scenario").alias("value")))).alias("p")).select("us", "p.*")
+        return {"rows": d, "points": points.where("value is not null"), "summary": d.agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))}

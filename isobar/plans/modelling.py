@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isobar.functions import seq
-from isobar.operators import calibrate, detect, evaluate, models, scenarios
+from isobar.operators import calibrate, detect, evaluate, inference, models, scenarios
 from isobar.plans import scenarios as plans
-from isobar.plans.catalogue import DAY, HOUR, HOURS, LABELS, SEG, SIG, SPEC, USERS, Tables, query, r6
+from isobar.plans.catalogue import DAY, HOUR, HOURS, LABELS, LONG, SEG, SIG, SPEC, USERS, Tables, query, r6
 
 H = str(HOUR)
 
@@ -180,6 +180,13 @@ def live_decisions(t: Tables) -> DataFrame:
     return r6(d.select("g", "us", "anomaly_score", "is_candidate", "scoring_status", "severity", "physics_alerts", "unreported_slots_before", "missing_channels"), "anomaly_score")
 
 
+@query("new_series_inference", f"""with {LONG}, n as (select g, us, row_number() over (partition by g order by us) as i from sig), a as (select l.*, i from lng l join n using (g, us)), rk as (select g, signal, value, row_number() over (partition by g, signal order by value) as rn, count(*) over (partition by g, signal) as n from a where value is not null and i <= 100), t as (select g, signal, value as threshold from rk where rn = ceil(0.98::double * (n - 1)) + 1)
+ select a.g, a.us, round(max(case when threshold = 0 then case when value > 0 then 2.0::double else 0.0::double end else value / nullif(threshold, 0) end), 6) as score, bool_or(value > threshold) as alert from a join t using (g, signal) where i > 100 group by 1, 2""")
+def new_series_inference(t: Tables) -> DataFrame:
+    decisions, _ = inference.infer(t.hours(), SPEC, leading=100, q=0.98)
+    return r6(decisions.select("g", "us", "score", "alert"), "score")
+
+
 @query("live_explanations", f"""with {SIG}, x as (select g, us, 'forecast_residual' as signal, forecast_residual as value, 60.0::double as threshold from sig union all select g, us, 'abrupt_change', abrupt_change, 60.0 from sig union all select g, us, 'flatline', flatline, 2.0 from sig) select g, us, 'v' as channel, signal, round(value, 6) as value, threshold, round(value / threshold, 6) as exceedance_ratio from x where value > threshold""")
 def live_explanations(t: Tables) -> DataFrame:
     return r6(detect.explanations(detect.compute_signals(t.hours(), SPEC), SPEC, _LIMITS), "value", "exceedance_ratio")

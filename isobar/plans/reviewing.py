@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.functions import physics, seq
+from isobar.functions import physics, seq, values
 from isobar.operators import detect, quality, reviews
 from isobar.plans.catalogue import DAY, DEC, HOUR, HOURS, LONG, ORACLES, PHYS, SIG, SPEC, THR, USERS, Tables, _decisions, _phys, query, r6
 from isobar.sources import archive
@@ -228,3 +228,21 @@ def footer_catalog(t: Tables) -> DataFrame:
 @query("shard_manifest", f"with {USERS} select kind, count(*) as rows, count(*) filter (v is null) as v_missing, min(us) as first_us, max(us) as last_us from eu group by 1")
 def shard_manifest(t: Tables) -> DataFrame:
     return archive.shard_manifest(t.users(), ["kind"], ["v"]).drop("fingerprint", "checksum")
+
+
+@query("array_functions", f"with {HOURS}, a as (select g, list(v order by us) as xs from ev group by 1), b as (select g, xs[1:50] as xs from a) select g, len(list_filter(list_sort(xs), lambda x: x < 50)) as below, len(list_filter(list_sort(xs), lambda x: x <= xs[1])) as up_to_first, round(list_max(xs[1:10]), 6) as tenth_running_max, list_transform(range(least(len(xs), 4)), lambda j: cast(floor(j * (len(xs) - 1) / (least(len(xs), 4) - 1)) as bigint))::varchar as places from b")
+def array_functions(t: Tables) -> DataFrame:
+    w = F.array_sort(F.collect_list(F.struct("us", "v")))
+    xs = t.hours().groupBy("g").agg(F.slice(F.transform(w, lambda r: r["v"]), 1, 50).alias("xs"))
+    order, first = F.array_sort("xs"), F.col("xs")[0]
+    places = values.linspace_places(F.size("xs").cast("long"), 4)
+    text = F.concat(F.lit("["), F.array_join(F.transform(places, lambda p: p.cast("string")), ", "), F.lit("]"))
+    return r6(xs.select("g", values.searchsorted(order, F.lit(50.0)).cast("long").alias("below"), values.searchsorted(order, first, right=True).cast("long").alias("up_to_first"), values.running_max(F.slice("xs", 1, 10))[F.least(F.size("xs"), F.lit(10)) - 1].alias("tenth_running_max"), text.alias("places")), "tenth_running_max")
+
+
+@query("json_and_maps", """select doc_id, '{"source":"' || source || '","n":' || case when n_chars > 3000 then 'null' else cast(n_chars as varchar) end || '}' as body, case lang when 'en' then 1.5 when 'de' then 2.0 else 0.5 end::double as weight from documents where source is not null""")
+def json_and_maps(t: Tables) -> DataFrame:
+    d = t.raw("documents").where("source is not null")
+    params = F.create_map(F.lit("en"), F.lit(1.5), F.lit("de"), F.lit(2.0))
+    body = values.finite_json(F.struct("source", F.when(F.col("n_chars") <= 3000, F.col("n_chars")).alias("n")))
+    return d.select("doc_id", body.alias("body"), values.map_value(params, F.coalesce("lang", F.lit("")), F.lit(0.5)).alias("weight"))

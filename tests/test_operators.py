@@ -278,3 +278,28 @@ def test_footers_manifests_bundles_and_audits(spark, tmp_path):
         archive.write_csv(raw, f"file://{tmp_path}/out")
     a, b = archive.shard_manifest(d, ["g"], ["v"]), archive.shard_manifest(d.repartition(5), ["g"], ["v"])
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_inference_from_a_file(spark, tmp_path):
+    from isobar import cli
+
+    rng = random.Random(1)
+    lines = ["group,timestamp,temperature_c,other"] + [f"a|b,2024-01-01T{i // 60:02d}:{i % 60:02d}:00Z,{60 if i == 300 else 15 + rng.random()},x" for i in range(360)]
+    (tmp_path / "in.csv").write_text("\n".join(lines))
+    assert cli.main([f"file://{tmp_path}/in.csv", f"file://{tmp_path}/out", "--leading", "200"], spark) == 0
+    events = spark.read.option("header", True).csv(f"file://{tmp_path}/out/candidate_events").collect()
+    at = {(int(e.start_us) - 1704067200000000) // MIN for e in events}
+    assert 300 in at and spark.read.parquet(f"file://{tmp_path}/out/decisions").count() == 160
+    with pytest.raises(SystemExit):
+        cli.main([f"file://{tmp_path}/in.csv", f"file://{tmp_path}/o2", "--channels", "none"], spark)
+
+
+def test_dashboard(spark):
+    from isobar.operators.report import Dashboard
+
+    d = series(spark, [1.0, 2.0, None, 4.0]).withColumn("alert", F.col("v") > 3).withColumn("score", F.col("v")).withColumn("reason_codes", F.lit("x"))
+    b = Dashboard(d, MIN)
+    assert tuple(b.status().first()) == (1, 4, 3, 3 * MIN) and b.catalog().first().n == 4
+    assert tuple(b.scenario("a", "spike", 0, 2 * MIN, 5.0)["summary"].first()) == (4, 1)
+    w = b.window("a", 0, 3 * MIN)
+    assert w["summary"].first().candidates == 1 and w["candidates"].count() == 1 and b.events("a").count() == 1 and b.health("a").count() == 1
