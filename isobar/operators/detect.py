@@ -113,6 +113,27 @@ def decide(scored: DataFrame, keys: list[str], time: str = "us", order: tuple[st
     return out.withColumn("reason_codes", F.array_join("_h.s", "|")).drop("_h")
 
 
+def decide_wide(df: DataFrame, spec: ObservationSpec, thresholds: DataFrame) -> DataFrame:
+    """The decisions of `decide` (with the channel's `value`) from signals that stand side by side, and fitted thresholds
+    (channel, signal, threshold).
+
+    The thresholds are one row, whatever the data, so nothing is unpivoted or shuffled: the rows keep the signals' partitioning.
+    """
+    name = F.concat_ws("__", "channel", "signal")
+    one = thresholds.agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("threshold")))).alias("_limits"))
+    d = df.crossJoin(F.broadcast(one))
+    cells = []
+    for c in spec.channels:
+        x = {s: F.col(f"{c}__{s}") for s in SIGNALS}
+        limit = {s: F.try_element_at("_limits", F.lit(f"{c}__{s}")) for s in SIGNALS}
+        hits = F.filter(F.array(*[F.when(x[s] > limit[s], F.lit(s)) for s in SIGNALS]), lambda r: r.isNotNull())
+        flags = F.array(*[x[s] > limit[s] for s in SIGNALS])
+        alert = F.when(F.exists(flags, lambda f: f.isNotNull()), F.exists(flags, lambda f: F.coalesce(f, F.lit(False))))
+        score = F.greatest(*[ratio(x[s], limit[s]) for s in SIGNALS])
+        cells.append(F.struct(F.lit(c).alias("channel"), score.alias("score"), alert.alias("alert"), F.array_join(hits, "|").alias("reason_codes"), F.col(c).alias("value")))
+    return d.select(*spec.keys, spec.time, F.explode(F.array(*cells)).alias("_c")).select(*spec.keys, spec.time, "_c.*")
+
+
 def wide_decisions(df: DataFrame, spec: ObservationSpec, thresholds: dict[tuple[str, str], float]) -> DataFrame:
     """The same decision with all signals side by side: no shuffle, for a threshold map of fixed size."""
     scores, alerts, reasons = [], [], []

@@ -90,11 +90,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _valued(t: Tables) -> DataFrame:
+    """Decisions with the value they were made on; thresholds are 5 rows, and rows keep the signals' one exchange on the group."""
+    signals = detect.compute_signals(t.hours(), SPEC)
+    thr = detect.higher_quantile(detect.long_signals(signals, SPEC), ["channel", "signal"], "value", 0.98)
+    return detect.decide_wide(signals, SPEC, thr)
+
+
 def _decisions(t: Tables) -> DataFrame:
-    # every downstream branch shares the signals' one exchange on the group; thresholds are 5 rows
-    long = detect.long_signals(detect.compute_signals(t.hours(), SPEC), SPEC)
-    thr = detect.higher_quantile(long, ["channel", "signal"], "value", 0.98)
-    return detect.decide(long.join(F.broadcast(thr), ["channel", "signal"]), ["g"])
+    return _valued(t).drop("value")
 
 
 # --- detector -----------------------------------------------------------------------------------------------------------
@@ -574,7 +578,7 @@ def forecast_metrics_grouped(t: Tables) -> DataFrame:
  select g, rows, scored, alerts, round(rate, 6) as rate, round(early, 6) as early, round(late, 6) as late, case when rate is null then 'unknown' when rate <= 0.02 then 'healthy' when rate <= 0.08 then 'watch' when rate <= 0.25 then 'degraded' else 'critical' end as health,
  case when early is null or late is null then 'unknown' when late > early * 1.5 + 0.005 then 'worsening' when early > late * 1.5 + 0.005 then 'improving' else 'stable' end as trend from r""")
 def station_health(t: Tables) -> DataFrame:
-    d = _decisions(t).join(t.hours().select("g", "us", "v"), ["g", "us"])
+    d = _valued(t).withColumnRenamed("value", "v")
     return r6(network.station_health(d, ["g"]).select("g", "rows", "scored", "alerts", "rate", "early", "late", "health", "trend"), "rate", "early", "late")
 
 
@@ -584,7 +588,7 @@ def station_health(t: Tables) -> DataFrame:
  select g, health, trend, case when not (scored >= 30 and span >= 60) then case when rows > 0 and scored = 0 then 'insufficient_history:check_feed_now' when alerts > 0 then 'insufficient_history:review_candidates' else 'insufficient_history:collect_more_history' end when scored / rows::double < 0.5 or missing > 0.25 then 'insufficient_coverage:check_feed_now' when trend = 'worsening' then 'rising:review_now'
   when persistent or health in ('degraded', 'critical') then case when persistent then 'persistent' else 'elevated' end || case when health = 'critical' then ':review_now' else ':next_service' end when alerts > 0 then 'isolated:next_service' else 'low:routine_observation' end as advisory from s""")
 def maintenance_advisory(t: Tables) -> DataFrame:
-    d = _decisions(t).join(t.hours().select("g", "us", "v"), ["g", "us"])
+    d = _valued(t).withColumnRenamed("value", "v")
     return network.station_health(d, ["g"]).select("g", "health", "trend", "advisory")
 
 
@@ -595,7 +599,7 @@ def dominant_reason(t: Tables) -> DataFrame:
 
 @query("window_summary", f"with {DEC} select g, count(*) as records, count(*) filter (alert) as candidates, count(alert) as scored, 0::bigint as missing from dec group by 1")
 def window_summary(t: Tables) -> DataFrame:
-    d = _decisions(t).join(t.hours().select("g", "us", "v"), ["g", "us"])
+    d = _valued(t).withColumnRenamed("value", "v")
     return network.window_summary(d, ["g"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions import physics, seq, values
 from isobar.operators import detect, quality, reviews
-from isobar.plans.catalogue import DAY, DEC, HOUR, HOURS, LONG, ORACLES, PHYS, SIG, SPEC, THR, USERS, Tables, _decisions, _phys, query, r6
+from isobar.plans.catalogue import DAY, DEC, HOUR, HOURS, LONG, ORACLES, PHYS, SIG, SPEC, THR, USERS, Tables, _decisions, _phys, _valued, query, r6
 from isobar.sources import archive
 
 H = str(HOUR)
@@ -149,7 +149,7 @@ def experiment_summary(t: Tables) -> DataFrame:
 
 @query("replay_metrics", f"with {DEC}, p as (select d.g, d.us, d.alert, e.v, first_value(e.v) over (partition by e.g order by e.us range between {H} preceding and {H} preceding) as f, coalesce(e.us - lag(e.us) over (partition by e.g order by e.us) > {H}, false) as gap from dec d join ev e using (g, us)) select count(*) as rows, count(alert) as scored, count(*) filter (alert) as candidates, count(*) filter (gap) as gaps, count(*) filter (v is null) as missing, count(v - f) as forecasts, round(avg(abs(v - f)), 6) as mae, round(sqrt(avg((v - f) * (v - f))), 6) as rmse from p")
 def replay_metrics(t: Tables) -> DataFrame:
-    d = _decisions(t).join(t.hours().select("g", "us", "v", seq.exact_lag("v", HOUR, ["g"]).alias("prediction")), ["g", "us"])
+    d = _valued(t).withColumnRenamed("value", "v").withColumn("prediction", seq.exact_lag("v", HOUR, ["g"]))
     return r6(reviews.replay_metrics(d, ["g"], HOUR), "mae", "rmse")
 
 
