@@ -209,3 +209,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str
     hot = F.broadcast(groups.where(is_hot))
     cold = rows.join(F.broadcast(groups.where(is_hot).select(*keys)), keys, "left_anti").join(groups.where(~is_hot), keys)
     return rows.join(hot, keys).unionByName(cold)
+
+
+#: DuckDB: the words of a text, and the shingles of five words (fewer words: the whole sequence) of a list w of words.
+SQL_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+SQL_SHINGLES = "list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import WordHash, mix64, read_table, shingle_hashes, word_hashes
+from isobar.llm.common import SQL_SHINGLES, SQL_WORDS, WordHash, mix64, read_table, shingle_hashes, word_hashes
 
 BITS = 128
 RADIUS = 42
@@ -214,3 +214,15 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k:
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: Every window of an item's length that holds one of its shingles, compared on full counts; the best window of each pair.
+ORACLE = f"""with d as (select doc_id, {SQL_WORDS} as w from documents), q as (select item_id, {SQL_WORDS} as w from benchmark where text is not null),
+ ds as (select doc_id, len(w) as words, unnest({SQL_SHINGLES}) as x, unnest(range(0, greatest(1, len(w) - 4))) as pos from d where len(w) > 0), qs as (select item_id, len(w) as words, unnest({SQL_SHINGLES}) as x from q where len(w) > 0),
+ qc as (select item_id, words, x, count(*) as c from qs group by 1, 2, 3), ql as (select item_id, sum(c) as total from qc group by 1),
+ h as (select doc_id, item_id, ds.x, pos, c, greatest(1, least(qc.words, ds.words) - 4) as width, greatest(1, ds.words - 4) - greatest(1, least(qc.words, ds.words) - 4) as last from ds join qc on ds.x = qc.x),
+ st as (select distinct doc_id, item_id, width, unnest(range(greatest(0, pos - width + 1), least(pos, last) + 1)) as p from h),
+ g as (select st.doc_id, st.item_id, st.width, p, h.x, least(count(*), any_value(c)) as k from st join h on h.doc_id = st.doc_id and h.item_id = st.item_id and h.pos >= p and h.pos < p + st.width group by 1, 2, 3, 4, 5),
+ b as (select g.doc_id, g.item_id, p, sum(k) as shared, any_value(width) + any_value(total) - sum(k) as either from g join ql using (item_id) group by 1, 2, 3),
+ o as (select *, row_number() over (partition by doc_id, item_id order by shared / either::double desc, p) as rank from b where 100 * shared >= 75 * either)
+ select doc_id, item_id, shared::double / either::double as similarity, p::bigint as first_word from o where rank = 1"""

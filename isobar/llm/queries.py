@@ -17,6 +17,8 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op5_near_dedup": setsketch.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

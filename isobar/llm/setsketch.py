@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import WordHash, connected_components, join_groups, materialize, mix64, read_table, release, settle, shingle_hashes, word_hashes
+from isobar.llm.common import SQL_SHINGLES, SQL_WORDS, WordHash, connected_components, join_groups, materialize, mix64, read_table, release, settle, shingle_hashes, word_hashes
 
 M, R = 250, 5
 A, B, Q = 20.0, 1.001, 2**16 - 2
@@ -377,3 +377,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, slack: float
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, compared on full sets, and the closure of the links.
+ORACLE = f"""with recursive d as (select doc_id, {SQL_WORDS} as w from documents), s as (select doc_id, case when len(w) > 0 then list_distinct({SQL_SHINGLES}) else [] end as sh from d),
+ e as (select doc_id, unnest(sh) as x from s), n as (select doc_id, len(sh) as n from s), p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+ l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)), u as (select a, b from l union all select b, a from l),
+ r as (select doc_id as id, doc_id as b from n union select r.id, u.b from r join u on r.b = u.a), m as (select id, min(b) as component_id from r group by 1)
+ select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join m on id = doc_id"""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.llm import bt_quality, common, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, setsketch
+from isobar.llm import bt_quality, common, crf_language, decontaminate, exact_dedup, fm_toxicity, kd_sharding, line_dedup, packing, pii, queries, setsketch
 from isobar.llm.common import connected_components, gapless_rank, join_groups
 
 
@@ -557,6 +557,20 @@ def test_sliding_fingerprints(seed):
         assert (decontaminate.simhashes(x, width) == np.concatenate([decontaminate.simhashes(x[i : i + width], width) for i in range(n - width + 1)])).all()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracles(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(tuple(str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert rows(got.toPandas()) == rows(want.df())
+
+
 def test_pipeline_judges_rows(spark):
     """Null and repeated ids: a row's own text decides."""
     import corpus_pipeline
