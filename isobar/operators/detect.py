@@ -66,16 +66,25 @@ def long_signals(df: DataFrame, spec: ObservationSpec, signals: tuple[str, ...]
     return out.select(*ids, F.split("_name", "__")[0].alias("channel"), F.split("_name", "__")[1].alias("signal"), "value")
 
 
+def _place_of(x: Column) -> Column:
+    """A whole number that grows with a finite number: its sign and logarithm in steps of a 65536th. It needs no look at the data."""
+    step = F.floor((F.ln(F.abs(x)) + 800.0) * 65_536.0) + 1
+    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.signum(x).cast("long") * step)
+
+
 def higher_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """The smallest value at or above the quantile's position (index ceil(q (n - 1))), exact, with its count.
 
-    Values are counted once per (keys, value) before they are ordered, so repeated values don't travel.
+    Values are counted once per (keys, value), so repeated values don't travel, and never all ordered: counts by narrow ranges
+    of value say which range holds the position, and only its values are put in order. A key may hold all rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_range", _place_of(F.col(value).cast("double")))
     w = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
-    place = F.ceil(F.lit(float(q)) * (F.col("n") - 1)) + 1
-    return ranked.where(F.col("_upto") >= place).groupBy(*keys).agg(F.min(value).alias("threshold"), F.first("n").alias("reference_rows"))
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c"))
+    ranges = ranges.withColumn("_upto", F.sum("_c").over(w.orderBy("_range"))).withColumn("n", F.sum("_c").over(w)).withColumn("_place", F.ceil(F.lit(float(q)) * (F.col("n") - 1)) + 1)
+    target = ranges.where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_c") < F.col("_place"))).select(*keys, "_range", "n", (F.col("_place") - (F.col("_upto") - F.col("_c"))).alias("_place"))
+    inside = counted.join(target, [*keys, "_range"]).withColumn("_upto", F.sum("_c").over(w.orderBy(value)))
+    return inside.where(F.col("_upto") >= F.col("_place")).groupBy(*keys).agg(F.min(value).alias("threshold"), F.first("n").alias("reference_rows"))
 
 
 def fit_thresholds(long: DataFrame, keys: list[str], q: float, least: int = 1) -> DataFrame:

@@ -303,3 +303,12 @@ def test_dashboard(spark):
     assert tuple(b.scenario("a", "spike", 0, 2 * MIN, 5.0)["summary"].first()) == (4, 1)
     w = b.window("a", 0, 3 * MIN)
     assert w["summary"].first().candidates == 1 and w["candidates"].count() == 1 and b.events("a").count() == 1 and b.health("a").count() == 1
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.98, 1.0])
+def test_higher_quantile_of_all_kinds_of_values(spark, q):
+    rng = np.random.default_rng(9)
+    values = {"wide": rng.normal(0, 1, 300) * 10.0 ** rng.integers(-12, 12, 300), "narrow": 1000 + rng.normal(0, 1e-7, 300), "ties": rng.integers(-2, 3, 300).astype(float), "zero": np.zeros(20), "one": np.array([-3.5])}
+    d = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("wide", None)], "k string, x double")
+    got = {r.k: (r.threshold, r.reference_rows) for r in detect.higher_quantile(d, ["k"], "x", q).collect()}
+    assert got == {k: (float(np.quantile(x, q, method="higher")), len(x)) for k, x in values.items()}
