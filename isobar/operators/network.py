@@ -31,7 +31,7 @@ def nearest_peers(stations: DataFrame, k: int = 4, radius_km: float = 500.0) ->
     touched = F.array_distinct(F.transform(F.sequence(low, F.least(high, low + F.col("_cells").cast("long"))), lambda c: F.pmod(c, F.col("_cells").cast("long"))))
     reach = reach.withColumn("_cell", F.explode(touched))
     d = reach.join(home, (F.col("_band") == F.col("_b")) & (F.col("_cell") == F.col("_c"))).where("station <> peer").withColumn("km", physics.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("km") <= radius_km)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("station").orderBy("km", "peer"))).where(F.col("rank") <= k).select("station", "peer", "km", "rank")
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy("station").orderBy(F.round("km", 6), "peer"))).where(F.col("rank") <= k).select("station", "peer", "km", "rank")
 
 
 def buddy_scores(df: DataFrame, peers: DataFrame, x: str, time: str = "us", least_peers: int = 2) -> DataFrame:
@@ -45,11 +45,24 @@ def buddy_scores(df: DataFrame, peers: DataFrame, x: str, time: str = "us", leas
 
 
 def buddy_spread(deviations: DataFrame, least: int = 100) -> DataFrame:
+    """Robust spread of each station's deviations: max(1.4826 MAD, q95 / 3, 0.001), for stations with enough of them."""
     med = deviations.groupBy("station").agg(F.percentile("deviation", 0.5).alias("_m"), F.count("*").alias("n")).where(F.col("n") >= least)
     d = deviations.join(med, "station")
     return d.groupBy("station").agg(F.greatest(1.4826 * F.percentile(F.abs(F.col("deviation") - F.col("_m")), 0.5), F.percentile("deviation", 0.95) / 3, F.lit(1e-3)).alias("spread"))
 
 
+def scaled_buddy_scores(deviations: list[DataFrame], least: int = 100, time: str = "us") -> DataFrame:
+    """Per station and time the largest over channels of deviation / spread; a station without a spread of its own takes the
+    channel's median spread."""
+    out = None
+    for d in deviations:
+        spread = buddy_spread(d, least)
+        pooled = spread.agg(F.percentile("spread", 0.5).alias("_pooled"))
+        one = d.join(spread, "station", "left").crossJoin(F.broadcast(pooled)).select("station", time, F.coalesce(F.col("deviation") / F.coalesce("spread", "_pooled"), F.lit(0.0)).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("station", time).agg(F.max("score").alias("score"))
+
+
 def latest_snapshot(df: DataFrame, keys: list[str], x: str, time: str = "us") -> DataFrame:
     """The last non-missing value of each key and its time."""
     return df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.max_by(x, time).alias("latest"), F.max(time).alias("latest_us"))

@@ -446,6 +446,14 @@ def ewma_max(t: Tables) -> DataFrame:
     return r6(seq.ewm(t.users(), "v", 3.0, ["g"], "e").select("g", "id", F.greatest("v", "e").alias("score")), "score")
 
 
+_EW12 = 0.5 ** (1 / 12)
+
+
+@query("ewm_adjusted", f"with {USERS}, l as (select g, id, list(v) over (partition by g order by us rows between unbounded preceding and current row) as xs from eu) select g, id, round(list_reduce(xs, lambda a, x: {_EW12!r}::double * a + x) / ((1 - pow({_EW12!r}::double, len(xs))) / (1 - {_EW12!r}::double)), 6) as e from l")
+def ewm_adjusted(t: Tables) -> DataFrame:
+    return r6(seq.ewm(t.users(), "v", 12.0, ["g"], "e", adjust=True).select("g", "id", "e"), "e")
+
+
 @query("score_normalise", f"with {USERS}, f as (select kind, quantile_cont(v, 0.5) as m, greatest(quantile_cont(v, 0.99) - quantile_cont(v, 0.5), 1e-9) as s from eu group by 1) select id, round((v - m) / s, 6) as norm from eu join f using (kind)")
 def score_normalise(t: Tables) -> DataFrame:
     d = t.users()
@@ -612,9 +620,9 @@ def _peers(t: Tables) -> DataFrame:
     return network.nearest_peers(t.geo())
 
 
-@query("knn_peers_haversine", f"with {PEERS} select station, count(*) as peers, round(max(km), 4) as farthest from (select * from pr where rank <= 4) group by 1")
+@query("knn_peers_haversine", f"with {PEERS} select station, peer, rank, round(km, 4) as km from pr where rank <= 4")
 def knn_peers_haversine(t: Tables) -> DataFrame:
-    return _peers(t).groupBy("station").agg(F.count("*").alias("peers"), F.round(F.max("km"), 4).alias("farthest"))
+    return _peers(t).select("station", "peer", F.col("rank").cast("long").alias("rank"), F.round("km", 4).alias("km"))
 
 
 REGION_PEERS = "rp as (select a.n_nationkey as station, b.n_nationkey as peer from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey)"
@@ -632,6 +640,11 @@ def buddy_check(t: Tables) -> DataFrame:
     return r6(_buddies(t).select("station", "us", "consensus", "n_peers", "deviation"), "consensus", "deviation")
 
 
+@query("buddy_spread_scores", f"with {BUD}, dv as (select station, us, abs(v - consensus) as x from bd), md as (select station, quantile_cont(x, 0.5) as m, count(*) as n from dv group by 1 having count(*) >= 4), sp as (select dv.station, greatest(1.4826 * quantile_cont(abs(x - m), 0.5), quantile_cont(x, 0.95) / 3, 0.001) as spread from dv join md using (station) group by 1), po as (select quantile_cont(spread, 0.5) as pooled from sp) select dv.station, us, round(coalesce(x / coalesce(spread, pooled), 0), 5) as score from dv left join sp using (station), po")
+def buddy_spread_scores(t: Tables) -> DataFrame:
+    return network.scaled_buddy_scores([_buddies(t)], least=4).select("station", "us", F.round("score", 5).alias("score"))
+
+
 @query("network_residual", f"with {BUD} select station, us, round(v - consensus, 6) as residual, case when abs(v - consensus) > 4000 then 'inconsistent' else 'consistent' end as status from bd")
 def network_residual(t: Tables) -> DataFrame:
     d = _buddies(t)
