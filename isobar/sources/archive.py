@@ -104,6 +104,21 @@ def audit(df: DataFrame, keys: list[str], time: str, channels: dict[str, str], m
     return df.groupBy(*keys).agg(*counts)
 
 
+def replay_slice(df: DataFrame, start: int, end: int, most_rows: int = 360, longest: int = 6 * 3_600_000_000, time: str = "us") -> DataFrame:
+    """The rows of [start, end) in order, for a replay: a span and a number of rows over the limits are refused, never cut."""
+    if not 0 < end - start <= longest:
+        raise ValueError("the span must be positive and within the limit")
+    out = df.where((F.col(time) >= start) & (F.col(time) < end))
+    if out.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    return out.orderBy(time)
+
+
+def write_packets(df: DataFrame, path: str, kind: str = "observation") -> None:
+    """Rows as JSON lines with their kind, missing values as null; refuses to overwrite."""
+    df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A table as CSV with a header; refuses to overwrite."""
     df.write.mode("errorifexists").option("header", True).csv(path)

@@ -90,13 +90,18 @@ def detect_stream(stream: DataFrame, cadence: int, near: int = 1, far: int = 60,
 
 
 class Watchdog:
-    """Constant-size rules for an edge device: per channel a step limit and the seconds a value may stand still."""
+    """Constant-size rules for an edge device: per channel a step limit, the seconds a value may stand still, and its domain.
 
-    def __init__(self, cadence_s: float, limits: dict[str, float], flat_s: float = 600.0, grace_s: float = 0.0, eps: float = 0.0):
-        self.cadence, self.limits, self.flat_s, self.grace, self.eps = cadence_s, limits, flat_s, grace_s, eps
+    A value outside its domain raises an alert and clears the channel's context, so that it is neither stepped from nor held.
+    """
+
+    def __init__(self, cadence_s: float, limits: dict[str, float], flat_s: float = 600.0, grace_s: float = 0.0, eps: float = 0.0, domains: dict[str, tuple[float, float]] | None = None):
+        self.cadence, self.limits, self.flat_s, self.grace, self.eps, self.domains = cadence_s, limits, flat_s, grace_s, eps, domains or {}
         self.last_s: float | None = None
         self.values: dict[str, float] = {}
         self.anchor: dict[str, tuple[float, float]] = {}
+        self.rows = self.skipped = 0
+        self.counts: dict[str, int] = {}
 
     def ingest(self, at_s: float, values: dict[str, float | None]) -> dict:
         if self.last_s is not None and at_s <= self.last_s:
@@ -105,9 +110,13 @@ class Watchdog:
         adjacent = gap is not None and abs(gap - self.cadence) <= self.grace
         alerts = []
         for c, x in values.items():
-            if x is None or x != x:
+            low, high = self.domains.get(c, (float("-inf"), float("inf")))
+            missing = x is None or x != x
+            if missing or not low <= x <= high:
                 self.values.pop(c, None)
                 self.anchor.pop(c, None)
+                if not missing:
+                    alerts.append((c, "domain"))
                 continue
             if adjacent and c in self.values and abs(x - self.values[c]) > self.limits[c]:
                 alerts.append((c, "step"))
@@ -117,10 +126,17 @@ class Watchdog:
                 alerts.append((c, "flatline"))
             self.values[c] = x
         skipped = 0 if gap is None else max(0, int(gap / self.cadence) - 1)
-        self.last_s = at_s
+        self.last_s, self.rows, self.skipped = at_s, self.rows + 1, self.skipped + skipped
+        for c, kind in alerts:
+            self.counts[f"{c}:{kind}"] = self.counts.get(f"{c}:{kind}", 0) + 1
         return {"alerts": alerts, "skipped": skipped}
 
     def heartbeat(self, at_s: float) -> dict:
         if self.last_s is None:
             return {"overdue": False, "silent_s": None}
         return {"overdue": at_s - self.last_s > self.cadence + self.grace, "silent_s": at_s - self.last_s}
+
+    def snapshot(self) -> dict:
+        """The whole state: it is as large after a year as after a day."""
+        held = {c: self.last_s - since for c, (_, since) in self.anchor.items()}
+        return {"last_s": self.last_s, "rows": self.rows, "skipped": self.skipped, "values": dict(self.values), "held_s": held, "alerts": dict(self.counts)}
