@@ -313,6 +313,7 @@ def _components(docs: DataFrame, percent: int, k: int, slack: float) -> DataFram
         tag = "best" if best else "rest"
         rows = _open_rows(buckets, component, tag)
         if rows.isEmpty():
+            release(rows, buckets)
             break
         facts = chosen
         if not best:
