@@ -77,7 +77,7 @@ def search_weights(df: DataFrame, group: str, parts: list[str], y: str, candidat
     def run(f: pd.DataFrame) -> pd.DataFrame:
         labels = f["_y"].to_numpy()
         if labels.min() == labels.max():
-            return pd.DataFrame({group: [], "objectives": []})
+            return pd.DataFrame({group: f[group].iloc[:0], "objectives": pd.Series([], dtype=object)})
         x = f[parts].to_numpy()
         return pd.DataFrame({group: f[group].iloc[:1].to_numpy(), "objectives": [[best_f1(x @ w, labels) for w in candidates]]})
 

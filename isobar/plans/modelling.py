@@ -127,7 +127,7 @@ def _labelled(t: Tables) -> tuple[DataFrame, list[str]]:
 def pattern_model_choice(t: Tables) -> DataFrame:
     d, features = _labelled(t)
     fit, selection = d.where("crc32(window_id) % 3 > 0"), d.where("crc32(window_id) % 3 = 0")
-    _, trials = calibrate.choose_family(fit, selection, features, "label", "no_injection", iterations=5, trees=15)
+    _, trials = calibrate.choose_family(fit, selection, features, "label", "no_injection", iterations=3, trees=10)
     return r6(t.spark.createDataFrame([(x["family"], x["average_precision"], x["macro_f1"], x["objective"]) for x in trials], "family string, average_precision double, macro_f1 double, objective double"), "average_precision", "macro_f1", "objective")
 
 
