@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -107,16 +108,25 @@ def bounded_ids(candidates: DataFrame, per_class: int, label: str) -> list[tuple
     return out
 
 
+_MEMORY: dict[object, object] = {}
+
+
+def process_memory(key: object, make: Callable[[], object]):
+    """What this Python worker remembers under a key, made if it is not there. One thing at a time: a worker that goes on to
+    another operator's tasks lets go of what the last one learned."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
+
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered for up to CACHE_WORDS words."""
 
-    _kept: "WordHash | None" = None
-
     @classmethod
     def of_process(cls) -> "WordHash":
         """The memory of this Python worker, which serves many tasks."""
-        cls._kept = cls._kept if cls._kept is not None else cls()
-        return cls._kept
+        return process_memory("words", cls)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:

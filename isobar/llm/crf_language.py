@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, read_table
+from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, process_memory, read_table
 
 TRAIN_DOCS = 150
 SPANS = 24
@@ -250,14 +250,10 @@ class Labeller:
         self.room = max(4096, min(CACHE_WORDS, 2**24 // max(1, len(model.labels))))
         self.table = np.zeros((self.room, len(model.labels)), np.float32)
 
-    _kept: "tuple[bytes, Labeller] | None" = None
-
     @classmethod
     def of_process(cls, model: Crf) -> "Labeller":
         """The labeller of a model in this Python worker, which serves many tasks."""
-        if cls._kept is None or cls._kept[0] != model.name():
-            cls._kept = (model.name(), cls(model))
-        return cls._kept[1]
+        return process_memory(("labeller", model.name()), lambda: cls(model))
 
     def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list(set().union(*texts).difference(self.known))

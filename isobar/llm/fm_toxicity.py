@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, read_table
+from isobar.llm.common import CACHE_WORDS, bounded_ids, fold, process_memory, read_table
 
 BUCKETS = 2**22
 TRAIN_ROWS = 6_000
@@ -40,15 +40,10 @@ class Terms(dict):
     def __init__(self, numbers: dict[int, int] | None = None):
         self.numbers = numbers
 
-    _kept: "tuple[int, Terms] | None" = None
-
     @classmethod
     def of_process(cls, numbers: dict[int, int]) -> "Terms":
         """The memory for a model's terms in this Python worker, which serves many tasks."""
-        name = xxhash.xxh3_64_intdigest(np.array(list(numbers), np.int64).tobytes())
-        if cls._kept is None or cls._kept[0] != name:
-            cls._kept = (name, cls(numbers))
-        return cls._kept[1]
+        return process_memory(("terms", np.array(list(numbers), np.int64).tobytes()), lambda: cls(numbers))
 
     def __missing__(self, term: str) -> int:
         if len(self) >= CACHE_WORDS:

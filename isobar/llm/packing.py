@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import gapless_rank, materialize, read_table
+from isobar.llm.common import gapless_rank, materialize, process_memory, read_table
 
 MAX_TOKENS = 4096
 SEPARATOR_ID = 2
@@ -116,15 +116,9 @@ class Ids:
         return self.encode_all([text])[0]
 
 
-_KEPT: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
     """This process's tokenizer and memory: a Python worker serves many tasks and keeps what earlier ones learned."""
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = Ids(path)
-    return _KEPT[path]
+    return process_memory(("ids", path), lambda: Ids(path))
 
 
 def _pieces(path: str, max_tokens: int, separator: int):
