@@ -321,3 +321,26 @@ def test_event_rules_read_no_frame_anew_for_every_row(spark):
     got = models.classify_event(d, d.where("k = 'runs'").drop("k").crossJoin(d.select("k").distinct()), ["k"], "v")
     assert "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.k: (r.rows, r.seen, r.fault) for r in got.collect()} == {"late": (12, 8, "stuck"), "gone": (12, 2, "dropout"), "runs": (12, 12, "complex")}
+
+
+def test_isolation_forest_of_full_size_is_grown_and_walked_in_arrays(spark):
+    """300 trees on samples of 65,536 rows: grown in tasks, none a second long; paths are those of the trees' own cuts."""
+    rng = np.random.default_rng(3)
+    x = np.stack([np.round(rng.exponential(30, 20_000), 2), rng.integers(0, 100, 20_000).astype(float)], axis=1)
+    x[:500] = x[0]  # a leaf of many equal rows
+    forest = models.IsolationForest(trees=5, sample=65_536).fit(x)
+    at = rng.integers(0, len(x), 200)
+    depth = np.zeros(len(at))
+    for feature, cut, kids, length in forest.roots:
+        assert length.dtype == np.float32 and len(kids) == 2 * len(cut)
+        for i, row in enumerate(x[at]):
+            node = 0
+            while kids[2 * node] != node:
+                node = kids[2 * node + int(row[feature[node]] >= cut[node])]
+            depth[i] += length[node]
+    assert np.allclose(forest.score(x[at]), 2.0 ** (-depth / 5 / float(forest._c(forest.n))))
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x[:3000])], "id long, a double, b double")
+    got = {r.id: r.score for r in models.isolation_scores(d, ["a", "b"], "id", trees=7, sample=65_536).collect()}
+    order = [r.id for r in d.orderBy(F.xxhash64("id"), "id").collect()]
+    whole = models.IsolationForest(trees=7, sample=65_536).fit(x[order])
+    assert len(got) == 3000 and np.allclose([got[i] for i in range(3000)], whole.score(x[:3000]))
