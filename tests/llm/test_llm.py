@@ -605,3 +605,26 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in now.collect()}
     assert now.count() > 0.7 * d.select("text").distinct().count()
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Sums made in tasks are those over all pairs, and one labelled row more or less changes the fit, however many there are."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "Beta!", "42", "gamma,", "DELTA"] if i % 3 else ["alpha", "gamma,", "beta"]) for _ in range(rng.randrange(3, 40))) for i in range(7000)]
+    d = docs(spark, list(enumerate(texts)))
+    label = [int(i % 3 == 0) if i % 11 else i % 2 for i in range(7000)]
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, label int")
+    seen = bt_quality.vectors(d)
+    whole = bt_quality.fit_all(seen, labels)
+    assert np.abs(whole.beta - bt_quality.fit_all(seen, labels.where("doc_id <> 6999")).beta).max() > 1e-9
+    x, y = np.array([bt_quality.features(t.encode()) for t in texts[:300]]), np.array(label[:300])
+    few = bt_quality.fit_all(seen, labels.where("doc_id < 300"), l2=2.0)
+    assert np.allclose(few.mean, x.mean(axis=0)) and np.allclose(few.scale, np.maximum(x.std(axis=0), 1e-6))
+    u = few.utility(x)
+    assert (few.score(x) < bt_quality.THRESHOLD).sum() in range((1 - y).sum() - 2, (1 - y).sum() + 3) and (np.diff(few.score(x)[np.argsort(u)]) >= 0).all()
+    monkeypatch.setattr(bt_quality, "GROUP", 1000)  # one group: all pairs
+    few = bt_quality.fit_all(seen, labels.where("doc_id < 300"))
+    z = few.expand(x)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 2 * bt_quality.FEATURES)
+    gradient = diff.T @ (1 / (1 + np.exp(-diff @ few.beta)) - 1) + len(diff) / bt_quality.PAIRS * few.beta
+    assert np.abs(gradient).max() < 1e-6
