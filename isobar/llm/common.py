@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ CLASS_PARTS = 64
 HOT_SHARE = 400
 #: Entries a worker keeps in a word cache before it starts afresh; bounds its memory whatever the vocabulary.
 CACHE_WORDS = 400_000
+#: The same for word hashes, which are cheap to make again.
+HASH_WORDS = 100_000
 
 _ROOTS: dict[str, str] = {}
 
@@ -115,13 +120,25 @@ def process_memory(key: object, make: Callable[[], object]):
     """What this Python worker remembers under a key, made if it is not there. One thing at a time: a worker that goes on to
     another operator's tasks lets go of what the last one learned."""
     if key not in _MEMORY:
-        _MEMORY.clear()
+        if _MEMORY:
+            _MEMORY.clear()
+            give_back()
         _MEMORY[key] = make()
     return _MEMORY[key]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; allocators would keep it for this worker, which may idle long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 class WordHash(dict):
-    """word bytes -> 64-bit hash, remembered for up to CACHE_WORDS words."""
+    """word bytes -> 64-bit hash, remembered for up to HASH_WORDS words."""
 
     @classmethod
     def of_process(cls) -> "WordHash":
@@ -129,7 +146,7 @@ class WordHash(dict):
         return process_memory("words", cls)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= HASH_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

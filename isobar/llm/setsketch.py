@@ -40,6 +40,8 @@ A, B, Q = 20.0, 1.001, 2**16 - 2
 BLOCK = 4096
 #: Partners of a document that are confirmed in one task.
 FAN = 256
+#: Texts of a batch that a worker holds beside it.
+SLICE = 512
 #: Sets of up to so many shingles are compared under 16 bits a shingle first, larger ones under 32.
 NARROW = 4096
 _rng = np.random.default_rng(20_240_501)
@@ -81,7 +83,9 @@ def _compare(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _texts(batch: pa.RecordBatch):
-    return batch.column("text").cast(pa.binary()).to_pylist()
+    """A batch's texts one by one; of its texts only SLICE at a time are held as Python objects beside the batch."""
+    for start in range(0, batch.num_rows, SLICE):
+        yield from batch.column("text").slice(start, SLICE).cast(pa.binary()).to_pylist()
 
 
 def _sketch(k: int):

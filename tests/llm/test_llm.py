@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -628,3 +629,18 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 2 * bt_quality.FEATURES)
     gradient = diff.T @ (1 / (1 + np.exp(-diff @ few.beta)) - 1) + len(diff) / bt_quality.PAIRS * few.beta
     assert np.abs(gradient).max() < 1e-6
+
+
+def test_worker_of_near_dedup_holds_little_at_a_time(monkeypatch):
+    texts = [None if i % 7 == 0 else f"text {i}" for i in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = setsketch._texts(batch)
+    assert not isinstance(got, list) and list(got) == [None if t is None else t.encode() for t in texts]
+    cache = common.WordHash()
+    for i in range(common.HASH_WORDS + 1000):
+        cache[b"%d" % i]
+    assert len(cache) <= common.HASH_WORDS < common.CACHE_WORDS
+    gone = []
+    monkeypatch.setattr(common, "give_back", lambda: gone.append(1))
+    monkeypatch.setattr(common, "_MEMORY", {})
+    assert [common.process_memory(k, list) for k in ("a", "a", "b")] == [[], [], []] and gone == [1]
