@@ -344,3 +344,18 @@ def test_isolation_forest_of_full_size_is_grown_and_walked_in_arrays(spark):
     order = [r.id for r in d.orderBy(F.xxhash64("id"), "id").collect()]
     whole = models.IsolationForest(trees=7, sample=65_536).fit(x[order])
     assert len(got) == 3000 and np.allclose([got[i] for i in range(3000)], whole.score(x[:3000]))
+
+
+def test_sampled_windows_are_contiguous_and_even(spark):
+    """Starts every 4 rows of a run with 12 rows ahead in it, at most 10 of a key, as counted in plain Python."""
+    rng = random.Random(9)
+    kept = [(g, i, float(i)) for g in ("a", "b") for i in range(300) if g == "a" or rng.random() > 0.06]
+    got = {(r.g, r.start_us) for r in calibrate.window_sample(spark.createDataFrame(kept, "g string, us long, v double"), ["g"], 1, 12, 4, 10).collect()}
+    want = set()
+    for g in ("a", "b"):
+        at = {us for k, us, _ in kept if k == g}
+        first = lambda us: us if us - 1 not in at else first(us - 1)
+        starts = sorted(us for us in at if (us - first(us)) % 4 == 0 and all(us + i in at for i in range(12)))
+        n = len(starts)
+        want |= {(g, s) for p, s in enumerate(starts) if n <= 10 or (p + 1) * 10 // n > p * 10 // n}
+    assert got == want and len([g for g, _ in got if g == "a"]) == 10
